@@ -9,7 +9,9 @@ and not by piece, so the driver sees 2048 counts however many pieces there are.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,30 +22,56 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small, table
 
-#: Distinct words a worker remembers the ids of, before it forgets them all.
-WORDS_KEPT = 400_000
+#: Distinct chunks and words a worker remembers the ids of, before it forgets them all.
+CHUNKS_KEPT, WORDS_KEPT = 400_000, 600_000
+#: Marks that end a chunk and make a token of their own after letters; the apostrophe can't be among them.
+TAIL = ".,;:!?%#$&*|"
+
+
+#: How byte-level vocabularies write bytes: printable Latin-1 as itself, the others from code point 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_WRITTEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class WordIds(dict):
-    """UTF-8 of the ids (unsigned 32 bit) of each chunk between blanks; a tokenizer whose splits never cross white space gives the same ids chunk by chunk."""
+    """Chunks between blanks to their ids (unsigned 32 bit, little-endian), found as they are asked for.
+
+    The tokenizer's splits never cross white space, and they part letters from marks, so a chunk of Latin-1 letters and
+    then marks has the ids of the two in turn; letter case is folded before anything else, and a run of letters goes
+    straight to the merges. Other chunks are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        self[word] = out = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return out
-
-    def learn(self, texts: list[str]) -> None:
-        if len(self) > WORDS_KEPT:
+        self.merge = self.tokenizer.model.tokenize
+        self.words: dict[str, bytes] = {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        head = chunk.rstrip(TAIL)
+        if head.isalpha() and (head.isascii() or max(head) < "\u0100"):
+            tail, ids = chunk[len(head) :], self._word(head.lower())
+            if tail:
+                ids += self._word(tail)
+        else:
+            ids = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes() if chunk else b""
+        self[chunk] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            written = word if word.isascii() else word.encode().decode("latin-1").translate(_WRITTEN)
+            ids = self.words[word] = array("I", [t.id for t in self.merge(written)]).tobytes()
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > CHUNKS_KEPT:
             self.clear()
-        new = list({w for t in texts for w in t if w not in self})
-        for i in range(0, len(new), 20_000):
-            for w, e in zip(new[i : i + 20_000], self.tokenizer.encode_batch(new[i : i + 20_000], add_special_tokens=False), strict=True):
-                self[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+        if len(self.words) > WORDS_KEPT:
+            self.words.clear()
 
 
 _ids: dict[str, WordIds] = {}
@@ -57,6 +85,7 @@ def tokenize_pieces(documents: DataFrame, tokenizer: str, *, capacity: int = 204
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         if tokenizer not in _ids:
             _ids[tokenizer] = WordIds(tokenizer)
         words, part, seen = _ids[tokenizer], TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
@@ -65,7 +94,7 @@ def tokenize_pieces(documents: DataFrame, tokenizer: str, *, capacity: int = 204
             for lo in range(0, len(batch), 256):
                 some = batch.slice(lo, 256)
                 split = [t.replace("\n", " ").split(" ") if t else [] for t in some.column("t").to_pylist()]
-                words.learn(split)
+                words.trim()
                 rows: list[tuple] = []
                 for doc, own in zip(some.column("d").to_pylist(), split, strict=True):
                     data = b"".join(map(words.__getitem__, own)) + end

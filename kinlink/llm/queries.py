@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing
+from . import chat, decontamination, licenses, packing, pii
 
 QUERIES = {
+    "op2_license_scan": licenses.op2_license_scan,
+    "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_personal_data": pii.op5_personal_data,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op4_chat_formatting": chat.OP4_SQL}
