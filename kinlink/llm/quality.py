@@ -56,7 +56,7 @@ def ngrams(text: str | None) -> np.ndarray:
     words = text.split() if text else []
     if not words:
         return np.zeros(0, np.uint32)
-    line = " ".join([words[0]] + [b if b != a else REPEAT_MARK for a, b in zip(words, words[1:], strict=False)])
+    line = words[0] + "".join([" " + b if b != a else REPEAT_MARK for a, b in zip(words, words[1:], strict=False)])
     points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
     s = np.concatenate([np.full(ORDER - 1, START, np.uint32), _CLASS[np.minimum(points, 0xFFFF)]])
     out = s[ORDER - 1 :].copy()
@@ -145,11 +145,12 @@ def score(documents: DataFrame, model: list[tuple[np.ndarray, ...]], *, text: st
     return documents.select([f.name for f in kept]).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_symbols bigint, perplexity double")
 
 
-def classify(documents: DataFrame, labels: DataFrame, *, quantile: float = 0.995, margin: float = 1.15, broadcast_rows: int = 2_000_000) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, *, quantile: float = 0.995, margin: float = 1.15, spread: float = 2.0, broadcast_rows: int = 2_000_000) -> DataFrame:
     """``documents`` with n_symbols, perplexity, threshold and keep.
 
     Trusted are the documents that ``labels`` (doc_id, quality) calls 1. A language's threshold is ``margin`` times the
-    ``quantile`` of its trusted perplexities; a language without any takes that of all. A text without a word has no
+    ``quantile`` of its trusted perplexities; a language without any takes that of all. A mean over n symbols varies with
+    1/sqrt(n), so for a text the threshold is ``spread``/sqrt(n) wider. A text without a word has no
     perplexity and isn't kept; without trusted texts everything that has a word is kept. Labels for no document, null or
     repeated ones don't matter; repeated documents stay.
     """
@@ -162,7 +163,8 @@ def classify(documents: DataFrame, labels: DataFrame, *, quantile: float = 0.995
     overall = float("inf") if overall is None else overall
     by = materialize(seen.filter("lang is not null").groupBy(F.col("lang").alias("__lang")).agg(cut.alias("__cut")), "thresholds")
     out = score(documents, model).join(small(by, by.count(), 100_000), F.col("lang") == F.col("__lang"), "left")
-    out = out.withColumn("threshold", F.coalesce("__cut", F.lit(overall))).drop("__lang", "__cut")
+    wider = 1 + spread / F.sqrt(F.greatest("n_symbols", F.lit(1)))
+    out = out.withColumn("threshold", F.coalesce("__cut", F.lit(overall)) * wider).drop("__lang", "__cut")
     return out.withColumn("keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)))
 
 
