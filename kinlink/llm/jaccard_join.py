@@ -3,8 +3,8 @@
 Sets of word shingles are compared exactly, but only where that can matter:
 
 1. Signatures. Two sets of sizes a and b link only if they differ in at most (1-t)/(1+t)*(a+b) tokens. Tokens are dealt
-   by value over one part more than that bound, so a linked pair has a part with equal contents: each document sends a
-   signature of every part (at its own size class and the next, as linked sizes are in one class or neighbours).
+   by value over more parts than that, so a linked pair has parts with equal contents: each document sends signatures of
+   its heaviest parts (at its own size class and the next, as linked sizes are in one class or neighbours).
 2. Cells. Documents that share a signature meet at the smallest document that has it. Cells whose
    sets are many in sum are split into blocks, each with that pivot.
 3. Token-group matrix. In a block similar documents form groups; the matrix holds each group's token union. A query's
@@ -33,6 +33,8 @@ _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 _S = [np.uint64(x) for x in (29, 32)]
 #: Distinct words whose hash a worker remembers before it forgets them all.
 HASHES_KEPT = 400_000
+#: The bitmap of repeated signatures has 2**BITMAP bits.
+BITMAP = 27
 #: Members of a group, so that its union says something.
 GROUP = 48
 
@@ -75,14 +77,21 @@ def size_classes(percent: int, upto: int = 1 << 40) -> np.ndarray:
 
 
 def signatures(tokens: np.ndarray, level: int, starts: np.ndarray, percent: int) -> np.ndarray:
-    """Of a set at a level: one for each part, of which a linked set of that level shares one at least."""
-    most = int(starts[level + 1]) - 1
-    parts = (100 - percent) * 2 * most // (100 + percent) + 1
+    """Of a set at a level: one for each of its heaviest parts, of which a linked set of that level has one too.
+
+    There are more parts than needed. If at most d tokens can differ from any linked set, all but d parts are shared. Both sets
+    order their parts alike (by tokens, then signature) and keep the d + 1 heaviest, so the heaviest shared part is kept by both:
+    were it left out by one, so would all shared parts be, which are more than the set leaves out.
+    """
+    n, largest = len(tokens), int(starts[level + 1]) - 1
+    parts = (((100 - percent) * 2 * largest // (100 + percent)) + 1) * 8 // 5
+    differ = (100 - percent) * (n + min(largest, 100 * n // percent)) // (100 + percent)
     part = ((tokens >> _S[1]) * np.uint64(parts) >> _S[1]).astype(np.int64)
     upto = np.searchsorted(part, np.arange(parts + 1))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(tokens * _P[1]))])
     held = sums[upto[1:]] - sums[upto[:-1]]
-    return _mix(_mix(held + np.arange(parts, dtype=np.uint64) * _P[2]) + np.full(1, level, np.uint64) * _P[3]).astype(np.int64)
+    found = _mix(_mix(held + np.arange(parts, dtype=np.uint64) * _P[2]) + np.full(1, level, np.uint64) * _P[3])
+    return found[np.lexsort((found, np.diff(upto)))[-differ - 1 :]].astype(np.int64)
 
 
 def _sketch(width: int, percent: int):
@@ -110,6 +119,30 @@ def _sketch(width: int, percent: int):
     return run
 
 
+def _with_repeated(sets: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, signature) of the signatures that may be among ``repeated``: none of these is missing.
+
+    A bitmap of fixed size stands for them. Where they are very many it lets more through, which the next step sorts out.
+    """
+    place = F.shiftrightunsigned("signature", 64 - BITMAP)
+    words = repeated.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(signature, {64 - BITMAP}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bitmap = np.zeros(1 << BITMAP - 6, np.int64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = sets.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value.view(np.uint64)
+        for b in batches:
+            lists = b.column("signatures")
+            values, counts = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            at = values.view(np.uint64) >> np.uint64(64 - BITMAP)
+            there = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            row = pa.array(np.repeat(np.arange(len(counts)), counts)[there])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("n_shingles").take(row), pa.array(values[there])], ["doc_id", "n_shingles", "signature"])
+
+    return sets.filter("size(signatures) > 0").select("doc_id", "n_shingles", "signatures").mapInArrow(run, "doc_id bigint, n_shingles bigint, signature bigint")
+
+
 class Matrix:
     """The token-group matrix of a block: by token its groups, by group its members."""
 
@@ -219,7 +252,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def jaccard_components(documents: DataFrame, *, width: int = 3, percent: int = 90, block_tokens: int = 400_000, id_column: str = "doc_id", text: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
+def jaccard_components(documents: DataFrame, *, width: int = 3, percent: int = 90, block_tokens: int = 100_000, id_column: str = "doc_id", text: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``documents``.
 
     Rows are documents by their integer id: rows that repeat an id count as one document with any of their texts. Null and
@@ -228,9 +261,11 @@ def jaccard_components(documents: DataFrame, *, width: int = 3, percent: int = 9
     """
     docs = int_id(documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")))
     sets = materialize(docs.mapInArrow(_sketch(width, percent), "doc_id bigint, n_shingles bigint, node bigint, signatures array<bigint>"), "sets")
-    exploded = sets.filter("size(signatures) > 0").select("doc_id", "n_shingles", F.explode("signatures").alias("signature"))
-    shared = materialize(exploded.groupBy("signature").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other")).filter("pivot < other").select("signature", "pivot"), "shared")
-    members = materialize(exploded.join(shared, "signature").groupBy("pivot", "doc_id").agg(F.max("n_shingles").alias("n")), "members")
+    exploded = sets.select("doc_id", "n_shingles", F.explode("signatures").alias("signature"))
+    repeated = materialize(exploded.groupBy("signature").count().filter("count > 1").select("signature"), "repeated")
+    kept = materialize(_with_repeated(sets, repeated), "kept")
+    shared = materialize(kept.groupBy("signature").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("other")).filter("pivot < other").select("signature", "pivot"), "shared")
+    members = materialize(kept.join(shared, "signature").groupBy("pivot", "doc_id").agg(F.max("n_shingles").alias("n")), "members")
     split = materialize(members.groupBy("pivot").agg(F.sum("n").alias("n")).filter(F.col("n") > block_tokens).select("pivot", F.ceil(F.col("n") / block_tokens).cast("bigint").alias("blocks")), "split")
     n_split = split.count()
     blocks = members.join(small(split, n_split, broadcast_rows), "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
@@ -249,7 +284,7 @@ def jaccard_components(documents: DataFrame, *, width: int = 3, percent: int = 9
         home = labelled.filter("doc_id = pivot").select("pivot", F.col("label").alias("home")).distinct()
         strays = materialize(labelled.join(home, "pivot").filter("label <> home").drop("home"), "strays")
         if strays.limit(1).count():
-            held = materialize(exploded.join(shared.join(small(split, n_split, broadcast_rows).select("pivot"), "pivot"), "signature").select("pivot", "signature", "doc_id"), "held")
+            held = materialize(kept.join(shared.join(small(split, n_split, broadcast_rows).select("pivot"), "pivot"), "signature").select("pivot", "signature", "doc_id"), "held")
             rows = held.join(labelled, ["pivot", "doc_id"])
             matrix = materialize(rows.groupBy("pivot", "signature", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), "matrix")
             asks = held.join(strays.withColumnRenamed("block", "home"), ["pivot", "doc_id"])
@@ -257,7 +292,8 @@ def jaccard_components(documents: DataFrame, *, width: int = 3, percent: int = 9
             rows = materialize(visits.unionByName(labelled.select("pivot", "block", "doc_id", "label").withColumn("visit", F.lit(False))), "visits")
             rows = rows.join(rows.filter("visit").select("pivot", "block").distinct(), ["pivot", "block"])
             more = materialize(link(rows, rows.count()), "more")
-            labels = materialize(components(links.union(more)), "components")
+            if more.limit(1).count():
+                labels = materialize(components(links.union(more)), "components")
     named = labels.select(F.col("node").alias("doc_id"), F.col("label"))
     return sets.select("doc_id", "n_shingles").join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
