@@ -33,8 +33,8 @@ _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 _S = [np.uint64(x) for x in (29, 32)]
 #: Distinct words whose hash a worker remembers before it forgets them all.
 HASHES_KEPT = 400_000
-#: The bitmap of repeated signatures has 2**BITMAP bits.
-BITMAP = 27
+#: The bitmap of repeated signatures has 2**BITMAP bits, made in 2**CHUNKS parts.
+BITMAP, CHUNKS = 27, 8
 #: Members of a group, so that its union says something.
 GROUP = 48
 
@@ -124,19 +124,32 @@ def _with_repeated(sets: DataFrame, repeated: DataFrame) -> DataFrame:
 
     A bitmap of fixed size stands for them. Where they are very many it lets more through, which the next step sorts out.
     """
-    place = F.shiftrightunsigned("signature", 64 - BITMAP)
-    words = repeated.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(signature, {64 - BITMAP}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bitmap = np.zeros(1 << BITMAP - 6, np.int64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    chunk = F.shiftrightunsigned("signature", 64 - CHUNKS).alias("chunk")
+    place = F.shiftrightunsigned("signature", 64 - BITMAP).bitwiseAND((1 << BITMAP - CHUNKS) - 1).alias("place")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for b in batches:
+            chunk, place = b.column("chunk").to_numpy(), b.column("place").to_numpy()
+            for c in np.unique(chunk).tolist():
+                chunks.setdefault(c, np.zeros(1 << BITMAP - CHUNKS, np.uint8))[place[chunk == c]] = 1
+        packed = [np.packbits(v, bitorder="little").tobytes() for v in chunks.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int64()), pa.array(packed, pa.binary())], ["chunk", "bits"])
+
+    marked = repeated.select(chunk, place).repartition("chunk").mapInArrow(mark, "chunk bigint, bits binary").collect()
+    bitmap = np.zeros(1 << BITMAP - 3, np.uint8)
+    size = 1 << BITMAP - CHUNKS - 3
+    for c, bits in marked:
+        bitmap[c * size : (c + 1) * size] = np.frombuffer(bits, np.uint8)
     shared = sets.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value.view(np.uint64)
+        bits = shared.value
         for b in batches:
             lists = b.column("signatures")
             values, counts = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
             at = values.view(np.uint64) >> np.uint64(64 - BITMAP)
-            there = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            there = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
             row = pa.array(np.repeat(np.arange(len(counts)), counts)[there])
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), b.column("n_shingles").take(row), pa.array(values[there])], ["doc_id", "n_shingles", "signature"])
 
