@@ -1,0 +1 @@
+"""Entity resolution here is a batch job; nothing in it needs a stream."""
