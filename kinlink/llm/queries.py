@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from . import chat, decontamination, fingerprints, jaccard_join, language_model, licenses, packing, pii, quality, secrets
+from .oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,4 +19,3 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_document_fingerprints": fingerprints.op10_document_fingerprints,
 }
-ORACLE_SQL = {"op4_chat_formatting": chat.OP4_SQL}

@@ -467,3 +467,22 @@ def test_neighbours_span_runs(spark):
     rows = [(i * i, f"text {i}.") for i in range(300)]
     dealt = fingerprints.neighbours(spark.createDataFrame(rows, "doc_id long, text string"), rows_each=20)
     assert dealt.select("bucket").distinct().count() > 5 and dealt.filter("ghost").count() == dealt.select("bucket").distinct().count()
+
+
+def test_sql_of_secrets_finds_random_runs(spark, tmp_path):
+    """The SQL of operator 1 on texts with keys of all encodings, beside words and paths."""
+    import duckdb
+
+    from kinlink.llm.oracle import ORACLE_SQL
+
+    r = random.Random(12)
+    pick = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    texts = [f"é {pick(a, n)} and {pick(b, n)} path/of/some_long_file_name_2024_v2" for a, b, n in itertools.product((secrets.BASE64, secrets.HEX_LOWER, secrets.HEX_UPPER, secrets.BASE32), (secrets.BASE64, "ab1"), (20, 33, 64, 200))]
+    texts += ["", None, "token = " + pick(secrets.BASE64, 40), "AKIA" + pick("ABC123", 16) + " " + pick(secrets.BASE64, 40) + "=="]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = secrets.op1_secret_scan(spark, str(tmp_path)).toPandas().sort_values("doc_id")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = c.sql(ORACLE_SQL["op1_secret_scan"]).df().sort_values("doc_id")[list(got.columns)]
+    assert got.spans.str.count("random").sum() > 20
+    assert got.values.tolist() == want.values.tolist()
