@@ -72,7 +72,7 @@ TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 #: Chunks between blanks with a digit or an at sign; possessive, so that a long chunk without one is read once.
 _MARKED = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 #: Tokens in a segment at most, and characters of a stretch decoded together; longer ones are cut at a blank.
-LONGEST, STRETCH_CHARS = 17, 400
+LONGEST, STRETCH_CHARS = 12, 400
 _CUES = {
     "ssn": "ssn", "social": "ssn", "security": "ssn", "iban": "iban", "account": "iban", "konto": "iban", "cuenta": "iban", "compte": "iban",
     "phone": "phone", "tel": "phone", "call": "phone", "telefon": "phone", "mobile": "phone", "fax": "phone",

@@ -126,15 +126,17 @@ def scan_secrets(documents: DataFrame, *, text: str = "text", level: float = 1e-
     # weighted Benjamini-Hochberg: longer runs carry more evidence, weights have mean one over the document's candidates
     total = F.aggregate("__tested", F.lit(0.0), lambda a, m: a + m["t"]["n"])
     count = F.size("__tested").cast("double")
-    ranked = F.array_sort(F.transform("__tested", lambda m: m["t"]["p_text"] * total / (count * m["t"]["n"])))
-    passing = F.filter(F.transform(ranked, lambda q, i: F.when(q <= level * (i + 1) / count, q)), lambda q: q.isNotNull())
-    out = out.withColumn("__cut", F.when(F.size("__found") > 0, F.array_max(passing))).withColumn("__scale", total / count)
+    weighed = lambda m: m["t"]["p_text"] * F.col("__total") / (F.col("__count") * m["t"]["n"])
+    out = out.withColumn("__total", total).withColumn("__count", count)
+    ranked = F.array_sort(F.transform("__tested", weighed))
+    passing = F.filter(F.transform(ranked, lambda q, i: F.when(q <= level * (i + 1) / F.col("__count"), q)), lambda q: q.isNotNull())
+    out = out.withColumn("__cut", F.when(F.size("__found") > 0, F.array_max(passing)))
     free = lambda m: ~F.exists("__fixed", lambda f: (f["start"] < m["end"]) & (m["start"] < f["end"]))
-    random = F.filter("__tested", lambda m: (m["t"]["p_random"] >= random_at) & (m["t"]["p_text"] * F.col("__scale") / m["t"]["n"] <= F.col("__cut")) & free(m))
+    random = F.filter("__tested", lambda m: (m["t"]["p_random"] >= random_at) & (weighed(m) <= F.col("__cut")) & free(m))
     spans = F.transform(random, lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("order"), m["end"].alias("end"), F.lit("random").alias("kind"), m["t"]["encoding"].alias("encoding"), m["t"]["p_random"].alias("p_random"), m["t"]["p_text"].alias("p_text")))
     every = F.array_sort(F.when(F.size("__found") > 0, F.concat("__fixed", spans)).otherwise(F.col("__fixed")))
     secrets = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"), s["encoding"].alias("encoding"), s["p_random"].alias("p_random"), s["p_text"].alias("p_text")))
-    return out.withColumn("secrets", secrets).drop("__t", "__fixed", "__found", "__tested", "__cut", "__scale")
+    return out.withColumn("secrets", secrets).drop("__t", "__fixed", "__found", "__tested", "__cut", "__total", "__count")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
