@@ -79,18 +79,14 @@ def threshold_sweep(roster: DataFrame, scored: DataFrame, truth: DataFrame, thre
     spark = scored.sparkSession
     steps = sorted(thresholds)
     level = F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: t <= F.col("score")))
-    best = scored.select(*PAIR, level.alias("level")).groupBy(*PAIR).agg(F.max("level").alias("level"))
+    best = scored.groupBy(*PAIR).agg(F.max("score").alias("score")).select(*PAIR, level.alias("level"))  # the score is computed once
     t = truth.select(*PAIR).distinct().withColumn("t", F.lit(1))
     by_level = best.join(t, PAIR, "left").groupBy("entity_id_s1", "level").agg(F.count("*").alias("n"), F.sum(F.coalesce("t", F.lit(0))).alias("hit"))
     grid = F.broadcast(spark.createDataFrame([(i + 1, x) for i, x in enumerate(steps)], "step int, threshold double"))
-    levels = by_level.groupBy("entity_id_s1").agg(F.collect_list(F.struct("level", "n", "hit")).alias("levels"))
-    every = roster.select("entity_id_s1").distinct().join(levels, "entity_id_s1", "left").join(t.groupBy("entity_id_s1").agg(F.sum("t").alias("n_true")), "entity_id_s1", "left").crossJoin(grid)
-
-    def total(c: str):  # noqa: ANN202
-        reached = F.filter(F.coalesce("levels", F.expr("cast(array() as array<struct<level:int,n:bigint,hit:bigint>>)")), lambda x: x["level"] >= F.col("step"))
-        return F.aggregate(reached, F.lit(0).cast("bigint"), lambda a, x: a + x[c])
-
-    counts = every.select("threshold", "entity_id_s1", total("n").alias("n_pred"), F.coalesce("n_true", F.lit(0)).cast("bigint").alias("n_true"), total("hit").alias("n_hit"))
+    reached = by_level.join(grid, F.col("level") >= F.col("step")).groupBy("entity_id_s1", "threshold").agg(F.sum("n").alias("n_pred"), F.sum("hit").alias("n_hit"))
+    true = t.groupBy("entity_id_s1").agg(F.sum("t").alias("n_true"))
+    every = roster.select("entity_id_s1").distinct().join(true, "entity_id_s1", "left").crossJoin(grid.select("threshold")).join(reached, ["entity_id_s1", "threshold"], "left")
+    counts = every.select("threshold", "entity_id_s1", *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_pred", "n_true", "n_hit")))
     return summary(counts, ("threshold",))
 
 
