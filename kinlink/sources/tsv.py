@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NULL_CELLS, filled
@@ -66,8 +66,14 @@ def scan_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): the lines of one file, numbered from 1 in its order."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line", "value")).withColumn("line", F.col("line") + 1)
+    """(line, value): the lines of one file, numbered from 1 in its order.
+
+    A line's number is its place in its split plus the lines of the splits before; only a row for each split meets in one task.
+    """
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    splits = rows.groupBy("split").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = splits.select("split", "first", (F.sum("n").over(Window.orderBy("split")) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), "split").select((F.col("before") + F.col("place") - F.col("first") + 1).alias("line"), "value")
 
 
 def id_lists(roster: DataFrame, pairs: DataFrame, name: str = "matched_entity_ids") -> DataFrame:

@@ -26,6 +26,18 @@ def test_scan(spark, files):
     assert tsv.scan_targets(spark, [path, "file:///nowhere/x.tsv"]) is None
 
 
+def test_lines_across_splits(spark, files):
+    text = "".join(f"line {i} {'x' * (i % 50)}\n" for i in range(1, 3001))
+    path = files("lines.tsv", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = tsv.scan_lines(spark, path)
+        assert rows.rdd.getNumPartitions() > 5
+        assert all(r.value.split()[1] == str(r.line) for r in rows.collect()) and rows.count() == 3000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_lists_round_trip(spark, files, tmp_path):
     path = files("truth.tsv", HEAD + "S1-2\tS3-1,S2-5\nS1-1\t\n")
     roster, pairs = tsv.scan_truth(spark, path)
