@@ -240,6 +240,48 @@ _ALL_FEATURES = _SET_FEATURES | {
     "addr_tsort": _ratio("a.sa", "b.sa"),
     "nx_addr": f"({_ratio('a.sn', 'b.sn')}) * ({_ratio('a.sa', 'b.sa')})",
 }
+
+
+def _partial(a: str, b: str) -> str:
+    s, t = f"(CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END)", f"(CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END)"
+    w = f"substr({t}, greatest(i, 0) + 1, i + length({s}) - greatest(i, 0))"
+    return f"CASE WHEN {a} <> '' AND {b} <> '' THEN list_max(list_transform(range(1 - length({s}), length({t})), lambda i: 2.0 * ({_lcs(s, w)}) / (length({s}) + length({w})))) ELSE 0.0 END"
+
+
+_VARIANT_FEATURES = {
+    "name_exact": _equal("a.nn", "b.nn"),
+    "name_sorted_exact": _equal("a.sn", "b.sn"),
+    "name_ratio": _ratio("a.nn", "b.nn"),
+    "name_partial_ratio": _partial("a.nn", "b.nn"),
+    "name_token_sort": _ratio("a.sn", "b.sn"),
+    "name_token_set": _token_set("a.nn", "b.nn"),
+    "name_jaccard": _jaccard("a.tokens", "b.tokens"),
+    "name_overlap": _overlap("a.tokens", "b.tokens"),
+    "name_len_ratio": _ratio_of_lengths("a.nn", "b.nn"),
+    "name_full_ratio": _ratio("a.nnf", "b.nnf"),
+    "name_first_token": "coalesce(CAST(list_min(a.tokens) = list_min(b.tokens) AS DOUBLE), 0.0)",
+    "compact_name_ratio": _ratio("a.cn", "b.cn"),
+    "addr_exact": _equal("a.na", "b.na"),
+    "addr_ratio": _ratio("a.na", "b.na"),
+    "addr_token_sort": _ratio("a.sa", "b.sa"),
+    "addr_jaccard": _jaccard(*_AW),
+    "addr_overlap": _overlap(*_AW),
+    "addr_len_ratio": _ratio_of_lengths("a.na", "b.na"),
+    "addr_num_jaccard": _jaccard("a.numbers", "b.numbers"),
+    "addr_num_overlap": _overlap("a.numbers", "b.numbers"),
+    "addr_missing_any": "CAST(a.na = '' OR b.na = '' AS DOUBLE)",
+    "addr_missing_both": "CAST(a.na = '' AND b.na = '' AS DOUBLE)",
+    "country_match": _equal("a.cl", "b.cl"),
+    "name_x_addr": f"({_ratio('a.sn', 'b.sn')}) * ({_ratio('a.sa', 'b.sa')})",
+    "name_x_addr_jaccard": f"({_jaccard('a.tokens', 'b.tokens')}) * ({_jaccard(*_AW)})",
+    "is_s2": "CAST(starts_with(b.entity_id, 'S2') AS DOUBLE)",
+    "n_blocking_methods": "CAST(n_methods AS DOUBLE)",
+    **{f"has_{m}_block": f"CAST(list_contains(string_split(methods, ','), '{m}') AS DOUBLE)" for m in ("exact", "sorted", "token", "prefix")},
+}
+_DAMAGED = """k AS (SELECT entity_id, coalesce(ids, '') AS ids, CAST(substr(entity_id, 4) AS BIGINT) // 3 % 10 AS k FROM s1
+       LEFT JOIN (SELECT entity_id_s1 AS entity_id, string_agg(DISTINCT entity_id_s2s3, ',' ORDER BY entity_id_s2s3) AS ids FROM pred GROUP BY ALL) USING (entity_id)),
+one AS (SELECT entity_id, k, CASE k WHEN 1 THEN ids || ',' || entity_id WHEN 2 THEN ids || ',S4-1' WHEN 3 THEN ids || ',S2-1,S2-1' ELSE ids END AS ids FROM k WHERE k <> 4),
+rows AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE k = 5)"""
 _PAIR_ROWS = "country, entity_id_s1, entity_id_s2s3, block"
 ORACLE_SQL = {
     "norm_name": _sql("SELECT entity_id, nn FROM prep", _DOCUMENTS, _PREP),
@@ -301,6 +343,20 @@ ORACLE_SQL = {
         _PREDICTED,
         "top AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY entity_id_s1 ORDER BY entity_id_s2s3) <= 5)",
     ),
+    "validate_dups": _sql(
+        "SELECT entity_id, 'row' AS what FROM rows GROUP BY entity_id HAVING count(*) > 1 UNION ALL SELECT entity_id, 'id in list' AS what FROM rows WHERE trim(ids) <> '' AND len(string_split(ids, ',')) <> len(list_distinct(string_split(ids, ',')))",
+        *_BASE, _CANDS, _SCORED, _PREDICTED, _DAMAGED,
+    ),
+    "validate_prefix": _sql(
+        "SELECT CASE WHEN starts_with(id, 'S2-') OR starts_with(id, 'S3-') THEN 'ok' WHEN starts_with(id, 'S1-') THEN 'self' ELSE 'prefix' END AS kind, count(*) AS n FROM (SELECT unnest(string_split(ids, ',')) AS id FROM rows WHERE trim(ids) <> '') GROUP BY ALL",
+        *_BASE, _CANDS, _SCORED, _PREDICTED, _DAMAGED,
+    ),
+    "validate_coverage": _sql(
+        "SELECT entity_id, 'missing' AS what FROM (SELECT entity_id FROM s1 EXCEPT SELECT entity_id FROM rows) UNION ALL SELECT entity_id, 'unexpected' AS what FROM (SELECT entity_id FROM rows EXCEPT SELECT entity_id FROM s1)",
+        *_BASE, _CANDS, _SCORED, _PREDICTED, _DAMAGED,
+    ),
+    "feat_partial": _sql(f"SELECT a_nn, b_nn, round({_partial('a_nn', 'b_nn')}, 6) AS partial FROM (SELECT DISTINCT a_nn, b_nn FROM p)", *_PART, _LCS_PAIRS),
+    "feat_mod": _sql("SELECT entity_id_s1, entity_id_s2s3, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _VARIANT_FEATURES.items()) + f" {_PAIRED}", *_VBASE, _VCANDS, _VTOKEN, _VNUM, _VPAIRS),
     "split_exact": _sql(
         f"SELECT entity_id, CASE WHEN row_number() OVER (ORDER BY {_HASH}, entity_id) <= floor(count(*) OVER () * 0.2) THEN 'validation' ELSE 'train' END AS part FROM s1", *_BASE
     ),
