@@ -240,8 +240,8 @@ def score_documents(documents: DataFrame, *, document_discount: float = 0.8, doc
     """
     spark = documents.sparkSession
     docs = int_id(documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))).withColumn("block", F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("bigint"), F.lit(0)))
-    spelt = docs.select("doc_id", "text").mapInArrow(_spell_counts, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toPandas().sort_values("code")
-    spelling = spark.sparkContext.broadcast(Spelling(spelt["code"].to_numpy(np.int64), spelt["n"].to_numpy(np.int64)))
+    spelt = docs.select("doc_id", "text").mapInArrow(_spell_counts, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow().sort_by("code")
+    spelling = spark.sparkContext.broadcast(Spelling(spelt.column("code").to_numpy(), spelt.column("n").to_numpy()))
     blocks = materialize(docs.mapInArrow(_block_words(spelling), "block bigint, word bigint, n bigint, spelt float"), "blocks")
     words = materialize(blocks.groupBy("word").agg(F.sum("n").alias("n"), F.max("spelt").alias("spelt")), "words")
     known, total, n1, n2 = words.filter("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()

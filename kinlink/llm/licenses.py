@@ -8,6 +8,7 @@ text's words. Matches are taken by priority, and one that lies within a match al
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -118,16 +119,21 @@ def scan(words: list[bytes]) -> list[tuple[int, int, str, int, float]]:
     for r in sorted(i for k in present for i in by[k]):
         label, priority, confidence, pattern = made[r]
         found += [(-priority, m.start() - m.end(), m.start(), m.end(), label, confidence) for m in pattern.finditer(line)]
-    taken: list[tuple] = []
-    for p, _, a, b, label, confidence in sorted(found):
-        if not any(x[2] <= a and b <= x[3] for x in taken):
-            taken.append((p, 0, a, b, label, confidence))
-    if not taken:
+    if not found:
         return []
-    out = []
-    for p, _, a, b, label, confidence in taken:
-        at = line.count(" ", 0, a)
-        out.append((at, at + line.count(" ", a, b) + 1, label, -p, confidence))
+    blanks = [m.start() for m in re.finditer(" ", line)]
+    starts, ends, out = [], [], []  # of the taken matches that lie in no other: both ascend
+    for p, _, a, b, label, confidence in sorted(found):
+        k = bisect_right(starts, a)
+        if k and ends[k - 1] >= b:
+            continue
+        last = k
+        while last < len(ends) and ends[last] <= b:
+            last += 1
+        if k and starts[k - 1] == a:
+            k -= 1
+        starts[k:last], ends[k:last] = [a], [b]
+        out.append((bisect_left(blanks, a), bisect_left(blanks, b) + 1, label, -p, confidence))
     return sorted(out)
 
 

@@ -73,6 +73,8 @@ TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 _MARKED = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 #: Tokens in a segment at most, and characters of a stretch decoded together; longer ones are cut at a blank.
 LONGEST, STRETCH_CHARS = 12, 400
+#: A stretch without any of these holds no span of any kind, as in tables of numbers, and isn't decoded.
+_POSSIBLE = re.compile(r"@|\+[0-9]|\([0-9]{3}\)|[0-9]{3}-[0-9]{2,3}-[0-9]{4}|[0-9]{13}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[A-Z]{2}[0-9]{2}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
 _CUES = {
     "ssn": "ssn", "social": "ssn", "security": "ssn", "iban": "iban", "account": "iban", "konto": "iban", "cuenta": "iban", "compte": "iban",
     "phone": "phone", "tel": "phone", "call": "phone", "telefon": "phone", "mobile": "phone", "fax": "phone",
@@ -301,6 +303,8 @@ def find_spans(text: str | None, field: Field) -> tuple[list[tuple[str, int, int
     own = base_spans(text)
     more = []
     for lo, hi in stretches(text or ""):
+        if not _POSSIBLE.search(text, lo, hi):
+            continue
         near = [(a, b) for _, a, b in own if a < hi and lo < b] if own else []
         if sum(b - a for a, b in near) >= hi - lo - 4:
             continue

@@ -101,8 +101,8 @@ def train(trusted: DataFrame) -> list[tuple[np.ndarray, np.ndarray, np.ndarray,
             parts = parts.withColumn("suffix", F.col("gram").bitwiseAND(SYMBOLS ** (k - 1) - 1)).join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("q")), "suffix")
             parts = parts.withColumn("p", F.col("own") + F.col("left") * F.col("q"))
         below = materialize(parts.select("gram", "context", "p", "left"), f"order{k}")
-        rows, weights = below.select("gram", "p").toPandas(), below.select("context", "left").distinct().toPandas()
-        out.append(tuple(x.to_numpy() for x in (rows["gram"], rows["p"], weights["context"], weights["left"])))
+        rows, weights = below.select("gram", "p").toArrow(), below.select("context", "left").distinct().toArrow()
+        out.append(tuple(x.to_numpy() for x in (rows.column("gram"), rows.column("p"), weights.column("context"), weights.column("left"))))
     return out
 
 

@@ -9,6 +9,7 @@ Benjamini-Hochberg rule over all candidates of the document, weighted by length,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,78 +32,106 @@ BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 TEXT_CHANGES = 0.08
 
 
+#: Matches whose places are summed together; an array grows by copying, so sums run within a chunk and over chunks.
+CHUNK = 256
+
+
+def _sums(lengths: Column) -> Column:
+    """Running sums of an array, each without its own element."""
+    grow = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    start = lambda at: F.struct(at.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+    zero = F.lit(0).cast("bigint")
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")), lambda c: F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK)))
+    bases = F.aggregate(F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, x: a + x)), start(zero), grow, lambda a: a["out"])
+    return F.flatten(F.zip_with(chunks, bases, lambda c, base: F.aggregate(c, start(base), grow, lambda a: a["out"])))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, value): leftmost matches without overlap, in code points. The texts between give the places."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    ends = F.aggregate(
-        F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), m.alias("value"))),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.coalesce(x["gap"], F.lit(0)) + F.coalesce(x["len"], F.lit(0))).alias("at"),
-            F.when(x["value"].isNull(), a["out"])
-            .otherwise(F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["len"]).alias("end"), x["value"].alias("value")))))
-            .alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    nothing = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    return F.when(text.rlike(pattern), ends).otherwise(nothing)
+    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    both = F.zip_with(pieces, found, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("value")))
+    before = _sums(F.transform(both, lambda x: (x["gap"] + F.length(x["value"])).cast("bigint")))
+    spans = F.zip_with(both, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)"))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def _normal_tail(z: Column) -> Column:
     """P(Z > z) by the classical rational approximation (error below 1e-7), for either sign."""
-    x = F.abs(z)
-    t = 1 / (1 + 0.2316419 * x)
-    series = reduce(lambda acc, c: (acc + c) * t, (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530), F.lit(0.0))
-    tail = series * F.exp(-x * x / 2) / 2.5066282746310002
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+
+    def tail(z: Column) -> Column:
+        def upper(t: Column) -> Column:
+            series = reduce(lambda acc, c: (acc + c) * t, (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530), F.lit(0.0))
+            return series * F.exp(-z * z / 2) / 2.5066282746310002
+
+        return _let(_let(1 / (1 + 0.2316419 * F.abs(z)), upper), lambda p: F.when(z >= 0, p).otherwise(1 - p))
+
+    return _let(z, tail)
+
+
+def _squeezed(s: Column, symbols: str) -> Column:
+    """Length once repeated symbols stand for one."""
+    return F.length(reduce(lambda x, c: F.regexp_replace(x, f"{c}+", c), symbols, s)).cast("double")
 
 
-def _count(s: Column, what: str) -> Column:
-    return F.length(s) - F.length(F.regexp_replace(s, what, ""))
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
 
 def battery(value: Column) -> Column:
-    """(n, encoding, p_random, p_text) of a candidate."""
-    s = F.regexp_replace(F.rtrim(value, F.lit("=")), "[-_]", "/")  # the URL alphabet's marks are base64's
-    n = F.length(s).cast("double")
-    encoding = F.when(s.rlike("^[0-9a-f]+$"), "hex").when(s.rlike("^[0-9A-F]+$"), "HEX").when(s.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
-
-    def test(encoded: Column) -> Column:
-        s, n, name = encoded["s"], encoded["n"], encoded["encoding"]
-        alphabet = F.when(name == "hex", HEX_LOWER).when(name == "HEX", HEX_UPPER).when(name == "base32", BASE32).otherwise(BASE64)
-        size = F.length(alphabet).cast("double")
-        symbols = F.transform(F.split(s, ""), lambda c: F.instr(alphabet, c).cast("double"))
+    """(n, encoding, p_random, p_text) of a candidate; in proportion to its length."""
+
+    def counted(e: Column) -> Column:
+        alphabet = F.when(e["encoding"] == "hex", HEX_LOWER).when(e["encoding"] == "HEX", HEX_UPPER).when(e["encoding"] == "base32", BASE32).otherwise(BASE64)
+        return _let(F.struct(e["s"].alias("s"), e["encoding"].alias("encoding"), alphabet.alias("alphabet"), F.length(e["s"]).cast("double").alias("n"), F.length(alphabet).cast("double").alias("size")), numbered)
+
+    def numbered(e: Column) -> Column:
+        symbols = F.transform(F.split(e["s"], ""), lambda c: F.instr(e["alphabet"], c).cast("double"))
+        return _let(symbols, lambda xs: _let(_total(xs) / e["n"], lambda centre: _let(F.transform(xs, lambda x: x - centre), lambda moved: summed(e, xs, moved))))
+
+    def summed(e: Column, xs: Column, moved: Column) -> Column:
+        s, n = e["s"], e["n"]
         squares = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(s, c, F.lit(""))), F.lit(2.0)))
-        chi, k = size / n * squares - n, size - 1
-        p_chi = _normal_tail((F.pow(F.greatest(chi / k, F.lit(1e-9)), F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k)))
-        # text repeats symbols, so only too uneven counts tell; runs and correlation tell on either side
-        bits = F.concat_ws("", F.transform(symbols, lambda i: F.when(i > size / 2, "1").otherwise("0")))
-        zeros = _count(bits, "0").cast("double")
-        ones = n - zeros
-        runs = F.length(F.regexp_replace(F.regexp_replace(bits, "1+", "1"), "0+", "0")).cast("double")
-        mean = 2 * ones * zeros / n + 1
-        spread = (mean - 1) * (mean - 2) / (n - 1)
-        p_runs = F.when(spread > 0, 2 * _normal_tail(F.abs(runs - mean) / F.sqrt(spread))).otherwise(0.0)
-        centre = F.aggregate(symbols, F.lit(0.0), lambda a, x: a + x) / n
-        moved = F.transform(symbols, lambda x: x - centre)
-        variance = F.aggregate(moved, F.lit(0.0), lambda a, x: a + x * x)
+        bits = F.concat_ws("", F.transform(xs, lambda i: F.when(i > e["size"] / 2, "1").otherwise("0")))
         pairs = F.zip_with(F.slice(moved, 1, F.size(moved) - 1), F.slice(moved, 2, F.size(moved) - 1), lambda x, y: x * y)
-        lag = F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x)
-        p_serial = F.when(variance > 0, 2 * _normal_tail(F.abs(lag / variance * F.sqrt(n) + 1 / F.sqrt(n)))).otherwise(0.0)
         classes = F.translate(F.translate(F.translate(s, BASE64[:26], "A" * 26), BASE64[26:52], "a" * 26), BASE64[52:62], "0" * 10)
-        changes = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(classes, "A+", "A"), "a+", "a"), "0+", "0")).cast("double") - 1
-        rate = F.greatest(F.least(changes / (n - 1), F.lit(1 - 1e-9)), F.lit(1e-9))
+        changes = _squeezed(classes, "Aa0") - 1
+        return _let(
+            F.struct(
+                n.alias("n"), e["encoding"].alias("encoding"), e["size"].alias("size"), squares.alias("squares"), bits.alias("bits"),
+                _total(F.transform(moved, lambda x: x * x)).alias("variance"), _total(pairs).alias("lag"),
+                F.greatest(F.least(changes / (n - 1), F.lit(1 - 1e-9)), F.lit(1e-9)).alias("rate"),
+            ),
+            decided,
+        )
+
+    def decided(v: Column) -> Column:
+        n, k, rate = v["n"], v["size"] - 1, v["rate"]
+        # text repeats symbols, so only too uneven counts tell; runs and correlation tell on either side
+        chi = v["size"] / n * v["squares"] - n
+        p_chi = _normal_tail((F.pow(F.greatest(chi / k, F.lit(1e-9)), F.lit(1 / 3)) - (1 - 2 / (9 * k))) / F.sqrt(2 / (9 * k)))
+        ones = F.length(F.replace(v["bits"], F.lit("0"), F.lit(""))).cast("double")
+        p_runs = _let(F.struct((2 * ones * (n - ones) / n + 1).alias("mean"), _squeezed(v["bits"], "10").alias("runs")), lambda r: _let((r["mean"] - 1) * (r["mean"] - 2) / (n - 1), lambda spread: F.when(spread > 0, 2 * _normal_tail(F.abs(r["runs"] - r["mean"]) / F.sqrt(spread))).otherwise(0.0)))
+        p_serial = F.when(v["variance"] > 0, 2 * _normal_tail(F.abs(v["lag"] / v["variance"] * F.sqrt(n) + 1 / F.sqrt(n)))).otherwise(0.0)
         bound = F.exp(-(n - 1) * (rate * F.log(rate / TEXT_CHANGES) + (1 - rate) * F.log((1 - rate) / (1 - TEXT_CHANGES))))
-        return F.struct(
-            n.alias("n"),
-            name.alias("encoding"),
-            F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p_random"),
-            F.when(rate > TEXT_CHANGES, bound).otherwise(1.0).alias("p_text"),
-        )
+        return F.struct(n.alias("n"), v["encoding"].alias("encoding"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p_random"), F.when(rate > TEXT_CHANGES, bound).otherwise(1.0).alias("p_text"))
+
+    def inferred(s: Column) -> Column:
+        encoding = F.when(s.rlike("^[0-9a-f]+$"), "hex").when(s.rlike("^[0-9A-F]+$"), "HEX").when(s.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
+        return _let(F.struct(s.alias("s"), encoding.alias("encoding")), counted)
+
+    return _let(F.regexp_replace(F.rtrim(value, F.lit("=")), "[-_]", "/"), inferred)  # the URL alphabet's marks are base64's
+
 
-    return F.transform(F.array(F.struct(s.alias("s"), n.alias("n"), encoding.alias("encoding"))), test)[0]
+def _mask(spans: Column) -> Column:
+    """A string with an x wherever one of the spans (in order, without overlap) is, up to the last."""
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(spans, lambda s: s["end"]))
+    return F.array_join(F.zip_with(spans, ends, lambda s, e: F.concat(F.repeat(F.lit(" "), (s["start"] - e).cast("int")), F.repeat(F.lit("x"), (s["end"] - s["start"]).cast("int")))), "")
 
 
 def scan_secrets(documents: DataFrame, *, text: str = "text", level: float = 1e-4, random_at: float = 1e-3) -> DataFrame:
@@ -119,10 +148,12 @@ def scan_secrets(documents: DataFrame, *, text: str = "text", level: float = 1e-
         null = F.lit(None)
         return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), m["end"].alias("end"), F.lit(kind).alias("kind"), null.cast("string").alias("encoding"), null.cast("double").alias("p_random"), null.cast("double").alias("p_text")))
 
-    out = source.withColumn("__fixed", F.concat(*(as_spans(k, v) for k, v in fixed.items())))
+    out = source.withColumns({f"__{k}": v for k, v in fixed.items()})
+    out = out.withColumn("__fixed", F.concat(*(as_spans(k, F.col(f"__{k}")) for k in fixed)))
     digit = lambda m: m["value"].rlike("[0-9]") & m["value"].rlike("[A-Za-z]")
     out = out.withColumn("__found", F.filter(matches(F.col("__t"), CANDIDATE), digit))
     out = out.withColumn("__tested", F.when(F.size("__found") > 0, F.transform("__found", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), battery(m["value"]).alias("t")))))
+    out = out.withColumn("__masks", F.when(F.size("__found") > 0, F.array(*(_mask(F.col(f"__{k}")) for k in fixed))))
     # weighted Benjamini-Hochberg: longer runs carry more evidence, weights have mean one over the document's candidates
     total = F.aggregate("__tested", F.lit(0.0), lambda a, m: a + m["t"]["n"])
     count = F.size("__tested").cast("double")
@@ -131,12 +162,12 @@ def scan_secrets(documents: DataFrame, *, text: str = "text", level: float = 1e-
     ranked = F.array_sort(F.transform("__tested", weighed))
     passing = F.filter(F.transform(ranked, lambda q, i: F.when(q <= level * (i + 1) / F.col("__count"), q)), lambda q: q.isNotNull())
     out = out.withColumn("__cut", F.when(F.size("__found") > 0, F.array_max(passing)))
-    free = lambda m: ~F.exists("__fixed", lambda f: (f["start"] < m["end"]) & (m["start"] < f["end"]))
+    free = lambda m: ~F.exists("__masks", lambda k: F.contains(F.substring(k, (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")), F.lit("x")))
     random = F.filter("__tested", lambda m: (m["t"]["p_random"] >= random_at) & (weighed(m) <= F.col("__cut")) & free(m))
     spans = F.transform(random, lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("order"), m["end"].alias("end"), F.lit("random").alias("kind"), m["t"]["encoding"].alias("encoding"), m["t"]["p_random"].alias("p_random"), m["t"]["p_text"].alias("p_text")))
     every = F.array_sort(F.when(F.size("__found") > 0, F.concat("__fixed", spans)).otherwise(F.col("__fixed")))
     secrets = F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end"), s["encoding"].alias("encoding"), s["p_random"].alias("p_random"), s["p_text"].alias("p_text")))
-    return out.withColumn("secrets", secrets).drop("__t", "__fixed", "__found", "__tested", "__cut", "__total", "__count")
+    return out.withColumn("secrets", secrets).drop("__t", *(f"__{k}" for k in fixed), "__fixed", "__found", "__masks", "__tested", "__cut", "__total", "__count")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -486,3 +486,15 @@ def test_sql_of_secrets_finds_random_runs(spark, tmp_path):
     want = c.sql(ORACLE_SQL["op1_secret_scan"]).df().sort_values("doc_id")[list(got.columns)]
     assert got.spans.str.count("random").sum() > 20
     assert got.values.tolist() == want.values.tolist()
+
+
+def test_many_matches_in_one_text(spark):
+    """Thousands of spans in a text: places stay right, and time stays in proportion."""
+    r = random.Random(4)
+    text = " ".join(f"{'é' * r.randint(0, 3)}{r.getrandbits(128):032x}" for _ in range(6000))
+    (row,) = secrets.scan_secrets(spark.createDataFrame([(text,)], "text string")).collect()
+    assert [(s.kind, s.start, s.end) for s in row.secrets if s.kind != "random"] == base_secrets(text)
+    words_of = [w.encode() for w in alnum(" and ".join(["Licensed under the Apache License, Version 2.0", "MIT license"] * 5000))]
+    found = licenses.scan(words_of)
+    assert len(found) == 10_000 and found[0][:3] == (0, 8, "apache") and found[1][:3] == (9, 11, "mit")
+    assert pii.find_spans("12.5 13.75 1,024 7 " * 50_000, pii.trained()) == ([], [])
