@@ -1,11 +1,13 @@
 """Language-model scores from a hierarchical Pitman-Yor model sampled by Gibbs.
 
-Three layers of Chinese restaurants:
+Layers of Chinese restaurants:
 
 * Spelling: the restaurants of all two-byte contexts share their one-byte parents, these share a root. They seat the
   training words as types, so any word has a probability, known or not.
-* Corpus: one restaurant seats every training token; its parent is the spelling.
-* Document: each text is a restaurant whose parent is the corpus, and its tokens are predicted in their order.
+* Corpus: one restaurant of words; its parent is the spelling.
+* Contexts: a restaurant for each word, seating what follows it, has the corpus as its parent; one for each two words, which seats
+  the training tokens, has that of the second word. There are as many as the training texts have contexts.
+* Document: each text is a restaurant, and its tokens are predicted in their order; the parent of each is its context's.
 
 A sweep seats every word anew given the tables of the sweep before, with the uniforms hashed from word and sweep, so a lost task
 seats the same customers at the same tables. Predictive probabilities are averaged over the sweeps after the first.
@@ -21,9 +23,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import int_id, materialize, space_words, table
@@ -35,7 +39,11 @@ BLOCK = 4096
 #: Discount and strength of the spelling restaurants, and the corpus restaurant's strength.
 SPELL_D, SPELL_S = 0.6, 2.0
 CORPUS_S = 1.0
+#: Strength of the bigram and trigram restaurants.
+CONTEXT_S = 1.0
 SWEEPS = 4
+#: Stands for the words before a text's first.
+START = np.zeros(1, np.int64)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -197,25 +205,118 @@ def _block_words(spelling):
     return run
 
 
-def _tables(discount: float, all_tables: list[float], total: float):
-    """Of each word: the tables in the sweep after the given ones, or with a total the averaged probability."""
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of an ordered pair of hashes."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+    for shift, by in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+    return (x ^ (x >> np.uint64(31))).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            word, n = b.column("word").to_numpy(), b.column("n").to_numpy().astype(np.float64)
-            spelt = 10.0 ** b.column("spelt").to_numpy().astype(np.float64)
-            if not total:
-                last = len(all_tables) - 1
-                t = seat(n, (CORPUS_S + discount * all_tables[last]) * spelt, discount, word, last)
-                yield pa.RecordBatch.from_arrays([pa.array(t)], ["tables"])
-                continue
-            p = np.zeros(len(n))
-            for sweep in range(1, len(all_tables) - 1):
-                t = seat(n, (CORPUS_S + discount * all_tables[sweep]) * spelt, discount, word, sweep)
-                p += (np.maximum(n - discount * t, 0) + (CORPUS_S + discount * all_tables[sweep + 1]) * spelt) / (CORPUS_S + total)
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(p / (len(all_tables) - 2))], ["word", "n", "p"])
 
-    return run
+def grams(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token: the hash of the two words before it, of the one before it, and its own."""
+    w = hashes(tokens(text))
+    before = np.concatenate([START, START, w])
+    return _mix(before[:-2], before[1:-1]), before[1:-1], w
+
+
+def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each trigram of a block: how often the block's training texts have it."""
+    block, held = None, []
+
+    def rows() -> pa.RecordBatch:
+        c, v, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        _, first, which = np.unique(_mix(c, w), return_index=True, return_inverse=True)
+        counts = np.bincount(which, n, len(first)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block, np.int64)), *(pa.array(x[first]) for x in (c, v, w)), pa.array(counts)], ["block", "c", "v", "w", "n"])
+
+    for batch in batches:
+        for b, doc, text in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if b != block:
+                if held:
+                    yield rows()
+                block = b
+            own = grams(text)
+            held.append((*own, np.full(len(own[2]), not held_out(doc), np.int8)))
+    if held:
+        yield rows()
+
+
+def _seated(customers: Column, parent: Column, key: list[str], discount: float, sweep: int) -> Column:
+    @F.pandas_udf("double")
+    def tables(n: pd.Series, a: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(seat(n.to_numpy(np.float64), a.to_numpy(np.float64), discount, _mix(x.to_numpy(np.int64), y.to_numpy(np.int64)), sweep))
+
+    return tables(customers, parent, *map(F.col, key))
+
+
+def _discount(df: DataFrame, n: str) -> float:
+    n1, n2 = df.agg(F.sum((F.col(n) == 1).cast("long")), F.sum((F.col(n) == 2).cast("long"))).first()
+    return min(max((n1 or 0) / ((n1 or 0) + 2 * (n2 or 0) or 1), 0.1), 0.95)
+
+
+def _sum(df: DataFrame, *names: str) -> list[float]:
+    return [float(x or 0) for x in df.agg(*map(F.sum, names)).first()]
+
+
+def word_contexts(tri: DataFrame, words: DataFrame) -> tuple[DataFrame, float]:
+    """(c, w, p) of each row of ``tri`` (c, v, w, n), and the probability of an unknown word without a context.
+
+    Trigram restaurants, by c, share the bigram restaurants, by v, as parents; these share the corpus restaurant, whose parent is
+    the spelling. Customers of a parent are its children's tables. A dish with one customer always has one table, so the sweeps
+    seat the others only; the rest enters as sums. Probabilities are those of the sweeps after the first, averaged.
+    """
+    S, last, col = CONTEXT_S, SWEEPS - 1, F.col
+    seen = tri.filter("n > 0")
+    bi = materialize(tri.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum((col("n") == 1).cast("double")).alias("f")), "bigrams")
+    contexts = materialize(seen.groupBy("c").agg(F.sum("n").alias("total"), F.sum((col("n") == 1).cast("double")).alias("single")), "contexts")
+    one = bi.filter("n = 1")
+    zero = lambda *names: [F.lit(0.0).alias(x) for x in names]
+    # tables of a trigram: t, over the sweeps ts; of a bigram: customers c2, tables t2; of a word: customers c1, tables t1
+    A = materialize(seen.filter("n > 1").join(contexts, "c").select("c", "v", "w", "n", "single", F.lit(1.0).alias("t"), *zero("ts")), "trigrams")
+    many = A.groupBy("v", "w").agg(F.sum("t").alias("t"))
+    B = materialize(bi.filter("n > 1").join(many, ["v", "w"], "left").select("v", "w", "f", (col("f") + F.coalesce("t", F.lit(0.0))).alias("c2"), F.lit(1.0).alias("t2"), *zero("own")), "pairs")
+    V = bi.filter("n > 0").groupBy("v").agg(F.sum((col("n") == 1).cast("double")).alias("f")).select("v", "f", *zero("open", "inverse"))
+    W = words.filter("n > 0").select(col("word").alias("w"), F.pow(F.lit(10.0), col("spelt").cast("double")).alias("spelt"))
+    W = W.join(one.groupBy("w").agg(F.count("*").cast("double").alias("f")), "w", "left").fillna(0.0, ["f"])
+    W = W.join(B.groupBy("w").agg(F.sum("t2").alias("t2")), "w", "left").fillna(0.0, ["t2"])
+    W = materialize(W.select("w", "spelt", "f", (col("f") + col("t2")).alias("c1"), F.lit(1.0).alias("t1"), *zero("ps")), "unigrams")
+    d3, d2, d1 = _discount(seen, "n"), _discount(B.select("c2").union(one.select(F.lit(1.0))), "c2"), _discount(W, "c1")
+    free = 0.0
+    for sweep in range(SWEEPS + 1):
+        used = float(sweep > 1) / last
+        C1, T1 = _sum(W, "c1", "t1")
+        free += used * (CORPUS_S + d1 * T1) / (CORPUS_S + C1)
+        p1 = (F.greatest(col("c1") - d1 * col("t1"), F.lit(0.0)) + (CORPUS_S + d1 * T1) * col("spelt")) / (CORPUS_S + C1)
+        W = W.withColumn("p1", p1).withColumn("ps", col("ps") + used * col("p1"))
+        V = V.join(B.groupBy("v").agg(F.sum("c2").alias("all2"), F.sum("t2").alias("sum2")), "v", "left").fillna(0.0, ["all2", "sum2"])
+        V = V.withColumn("all2", col("all2") + col("f")).withColumn("sum2", col("sum2") + col("f"))
+        V = V.withColumn("open", col("open") + used * (S + d2 * col("sum2")) / (S + col("all2"))).withColumn("inverse", col("inverse") + used / (S + col("all2")))
+        V = materialize(V, "followers")
+        B = B.join(V.select("v", "all2", "sum2"), "v").withColumn("own", col("own") + used * (col("c2") - d2 * col("t2")) / (S + col("all2")))
+        V = V.drop("all2", "sum2")
+        if sweep == SWEEPS:
+            B = B.select("v", "w", "own")
+            break
+        B = B.join(W.select("w", "p1"), "w").withColumn("a2", (S + d2 * col("sum2")) * col("p1"))
+        B = materialize(B.withColumn("p2", (col("c2") - d2 * col("t2") + col("a2")) / (S + col("all2"))).select("v", "w", "f", "a2", "p2", "own"), "pairs")
+        A = A.join(A.groupBy("c").agg(F.sum("t").alias("sum3")), "c").join(B.select("v", "w", "p2"), ["v", "w"])
+        A = A.withColumn("t", _seated(col("n"), (S + d3 * (col("sum3") + col("single"))) * col("p2"), ["c", "w"], d3, sweep))
+        A = materialize(A.select("c", "v", "w", "n", "single", "t", (col("ts") + F.lit(float(sweep > 0) / last) * col("t")).alias("ts")), "trigrams")
+        B = B.join(A.groupBy("v", "w").agg(F.sum("t").alias("t")), ["v", "w"], "left").withColumn("c2", col("f") + F.coalesce("t", F.lit(0.0)))
+        B = materialize(B.select("v", "w", "f", "own", "c2", _seated(col("c2"), col("a2"), ["v", "w"], d2, sweep).alias("t2")), "pairs")
+        W = W.join(B.groupBy("w").agg(F.sum("t2").alias("t2")), "w", "left").withColumn("c1", col("f") + F.coalesce("t2", F.lit(0.0)))
+        W = materialize(W.select("w", "spelt", "f", "ps", "c1", _seated(col("c1"), (CORPUS_S + d1 * T1) * col("spelt"), ["w", "w"], d1, sweep).alias("t1")), "unigrams")
+    # words outside the training texts are one event, as in the base: what the spelling leaves to them
+    unknown = max(1 - _sum(W, "spelt")[0], 1e-6) * free
+    p2 = bi.select("v", "w", "n").join(V, "v", "left").join(B, ["v", "w"], "left").join(W.select("w", "ps"), "w", "left")
+    own2 = F.when(col("n") == 1, (1 - d2) * col("inverse")).otherwise(F.coalesce("own", F.lit(0.0)))
+    p2 = p2.select("v", "w", (own2 + F.coalesce("open", F.lit(1.0)) * F.coalesce("ps", F.lit(unknown))).alias("p2"))
+    contexts = contexts.join(A.groupBy("c").agg(F.sum("ts").alias("sum3")), "c", "left").select("c", "total", (S + d3 * (col("single") + F.coalesce("sum3", F.lit(0.0)))).alias("open3"))
+    p3 = tri.join(contexts, "c", "left").join(A.select("c", "w", "ts"), ["c", "w"], "left").join(p2, ["v", "w"])
+    own3 = F.when(col("n") > 0, col("n") - d3 * F.coalesce("ts", F.lit(1.0))).otherwise(0.0)
+    return p3.select("c", "w", F.when(col("total").isNull(), col("p2")).otherwise((own3 + col("open3") * col("p2")) / (S + col("total"))).alias("p")), unknown
 
 
 def document_log10(parent: np.ndarray, word: np.ndarray, discount: float, strength: float) -> float:
@@ -244,29 +345,31 @@ def score_documents(documents: DataFrame, *, document_discount: float = 0.8, doc
     spelling = spark.sparkContext.broadcast(Spelling(spelt.column("code").to_numpy(), spelt.column("n").to_numpy()))
     blocks = materialize(docs.mapInArrow(_block_words(spelling), "block bigint, word bigint, n bigint, spelt float"), "blocks")
     words = materialize(blocks.groupBy("word").agg(F.sum("n").alias("n"), F.max("spelt").alias("spelt")), "words")
-    known, total, n1, n2 = words.filter("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
-    discount = min(max((n1 or 0) / ((n1 or 0) + 2 * (n2 or 0) or 1), 0.1), 0.95)
-    tables = [float(known)]
-    for _ in range(SWEEPS):
-        tables.append(float(words.mapInArrow(_tables(discount, tables, 0), "tables double").agg(F.coalesce(F.sum("tables"), F.lit(0.0))).first()[0]))
-    # words outside the training texts are one event, as in the base: what the spelling leaves to them
-    left = words.filter("n > 0").agg(F.sum(F.pow(F.lit(10.0), F.col("spelt").cast("double")))).first()[0] or 0.0
-    unknown = max(1 - left, 1e-6) * float(np.mean([(CORPUS_S + discount * t) / (CORPUS_S + total) for t in tables[2:]]))
-    model = words.mapInArrow(_tables(discount, tables, float(total) or 1e-9), "word bigint, n bigint, p double")
-    slices = blocks.select("block", "word").join(model, "word").select("block", "word", "n", "p")
+    known, total = words.filter("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found = docs.select("block", "doc_id", "text").mapInArrow(_block_grams, "block bigint, c bigint, v bigint, w bigint, n bigint")
+    tri = materialize(found.groupBy("c", "v", "w").agg(F.sum("n").alias("n")), "counts")
+    model, _ = word_contexts(tri, words)
+    counts = blocks.select("block", "word").join(words.select("word", "n"), "word").select("block", F.lit(None).cast("bigint").alias("c"), "word", "n", F.lit(None).cast("double").alias("p"))
+    parts = found.select("block", "c", "w").join(model, ["c", "w"]).select("block", "c", F.col("w").alias("word"), F.lit(None).cast("bigint").alias("n"), "p")
+    slices = counts.unionByName(parts)
     kind = documents.schema[id_column].dataType.simpleString()
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        word = own.column("word").to_numpy()
-        order = np.argsort(word)
-        keys, n, p = word[order], own.column("n").to_numpy()[order], own.column("p").to_numpy()[order]
+        alone = own.filter(pc.is_null(own.column("c")))
+        order = np.argsort(word := alone.column("word").to_numpy())
+        keys, n = word[order], alone.column("n").to_numpy()[order]
+        after = own.filter(pc.is_valid(own.column("c")))
+        gram = _mix(after.column("c").to_numpy(), after.column("word").to_numpy())
+        order = np.argsort(gram)
+        gram, p = gram[order], after.column("p").to_numpy()[order]
         rows = []
         base = np.log10((n + 0.1) / (total + 0.1 * (known + 1)))
         for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True):
-            k = np.searchsorted(keys, hashes(tokens(text)))
+            c, _, w = grams(text)
+            k = np.searchsorted(keys, w)
             seen = n[k] > 0
-            value = document_log10(np.where(seen, p[k], unknown), np.where(seen, k, -1), document_discount, document_strength)
+            value = document_log10(p[np.searchsorted(gram, _mix(c, w))], np.where(seen, k, -1), document_discount, document_strength)
             rows.append((doc, held_out(doc), len(k), int(seen.sum()), total, float(base[k].sum()), value))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
 

@@ -158,6 +158,41 @@ def test_document_layer_is_a_distribution():
         assert total == pytest.approx(1)
 
 
+def test_word_order_counts(spark):
+    """Contexts are learned from the corpus: held-out texts lose with their words shuffled, and seats by context sum to one."""
+    r = random.Random(8)
+    chain = {i: [r.randrange(60) for _ in range(2)] for i in range(60)}
+
+    def walk():
+        at, out = r.randrange(60), []
+        for _ in range(30):
+            out.append(f"w{at}")
+            at = r.choice(chain[at])
+        return out
+
+    rows = [(i, " ".join(walk())) for i in range(400)]
+    held = [i for i, _ in rows if language_model.held_out(i)]
+    mixed = {i: " ".join(r.sample(t.split(), 30)) for i, t in rows if i in set(held)}
+    score = lambda rs: {x.doc_id: x.score for x in language_model.score_documents(spark.createDataFrame(rs, "doc_id long, text string")).collect()}
+    plain, shuffled = score(rows), score([(i, mixed.get(i, t)) for i, t in rows])
+    assert len(held) > 20 and all(plain[i] > shuffled[i] + 3 for i in held)
+
+
+def test_contexts_are_distributions(spark):
+    """For contexts seen as two words, as one and not at all, the probabilities of all words and the unknown one sum to one."""
+    r = random.Random(9)
+    n = {(r.randrange(1, 6), r.randrange(1, 6), r.randrange(1, 6)): r.choice((1, 1, 2, 9, 40)) for _ in range(60)}
+    mix = lambda u, v: int(language_model._mix(np.array([u]), np.array([v]))[0])
+    every = [(mix(u, v), v, w, n.get((u, v, w), 0)) for u in range(1, 8) for v in range(1, 8) for w in range(1, 7)]
+    known = {w for _, _, w in n}
+    tri = spark.createDataFrame(every, "c long, v long, w long, n long")
+    model, _ = language_model.word_contexts(tri, spark.createDataFrame([(w, int(w in known), -1.0) for w in range(1, 8)], "word long, n long, spelt float"))
+    total = collections.Counter()
+    for x in model.collect():
+        total[x.c] += x.p
+    assert len(total) == 49 and known == {1, 2, 3, 4, 5} and list(total.values()) == pytest.approx([1.0] * 49)
+
+
 # 4
 
 
