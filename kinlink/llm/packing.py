@@ -1,9 +1,9 @@
 """Best-fit packing: a configuration linear program over the histogram of piece lengths.
 
 A configuration is a multiset of lengths that fits a sequence. Multiplicative weights hold a price for
-each length; a knapsack dynamic program finds the configuration worth most at these prices, it is
-used for as long as it saturates some length, and lengths that are covered become cheaper. The
-fractional use of the configurations is rounded down and the rest is packed best-fit, still by length
+each length; a knapsack dynamic program finds the configurations worth most at these prices, each is
+used until it saturates some length, and lengths that are covered become cheaper, until all are covered.
+The fractional use of the configurations is rounded down and the rest is packed best-fit, still by length
 and not by piece, so the driver sees 2048 counts however many pieces there are.
 """
 
@@ -24,6 +24,8 @@ from .common import materialize, small, table
 
 #: Distinct chunks and words a worker remembers the ids of, before it forgets them all.
 CHUNKS_KEPT, WORDS_KEPT = 400_000, 600_000
+#: Configurations tried at the prices of one knapsack.
+AROUND = 32
 #: Marks that end a chunk and make a token of their own after letters; the apostrophe can't be among them.
 TAIL = ".,;:!?%#$&*|"
 
@@ -112,8 +114,8 @@ def tokenize_pieces(documents: DataFrame, tokenizer: str, *, capacity: int = 204
     return documents.select(F.col(id_column).alias("d"), F.col(text).alias("t")).mapInArrow(run, ddl)
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of ``lengths`` (ascending) within ``capacity`` that is worth most: a knapsack with repetition."""
+def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """With repetition, for each capacity: the most that ``lengths`` (ascending) within it are worth, and which comes last."""
     worth, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
@@ -124,8 +126,11 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -
             best = int(value.argmax())
             if value[best] > worth[c]:
                 worth[c], last[c] = value[best], best
+    return worth, last
+
+
+def _chosen(lengths: np.ndarray, last: np.ndarray, c: int) -> dict[int, int]:
     used: dict[int, int] = {}
-    c = capacity
     while c > 0:
         if last[c] < 0:
             c -= 1
@@ -135,33 +140,51 @@ def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -
     return used
 
 
-def solve(histogram: dict[int, int], capacity: int, *, rounds: int = 240, epsilon: float = 0.15) -> list[tuple[dict[int, int], int]]:
-    """Configurations (length: copies) and how many sequences are filled by each, holding every piece exactly once."""
+def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> dict[int, int]:
+    """The multiset of ``lengths`` (ascending) within ``capacity`` that is worth most."""
+    return _chosen(lengths, _knapsack(lengths, prices, capacity)[1], capacity)
+
+
+def program(histogram: dict[int, int], capacity: int, *, epsilon: float = 0.15) -> list[tuple[dict[int, int], float]]:
+    """Configurations and their fractional use, which covers every length exactly.
+
+    A round prices all lengths by one knapsack, which also has the best configuration around each length. Those within
+    ``epsilon`` of the best at the prices of their turn are used, the longest lengths' first, until each saturates some
+    length; rounds go on until all are. A length starts at slightly more than its share of a sequence.
+    """
     lengths = np.array(sorted(histogram), np.int64)
-    if not len(lengths):
-        return []
     need = np.array([histogram[int(n)] for n in lengths], np.float64)
-    logs, covered, use = np.log(lengths / need), np.zeros(len(need)), {}
-    for _ in range(rounds):
-        prices = np.exp(logs - logs.max()) * 1.0
-        own = best_configuration(lengths, prices, capacity)
-        key = tuple(sorted(own.items()))
-        at, copies = np.array([k for k, _ in key]), np.array([v for _, v in key], np.float64)
-        step = (need[at] / copies).min()
-        use[key] = use.get(key, 0.0) + step
-        covered[at] += step * copies / need[at]
-        logs[at] += np.log1p(-epsilon * step * copies / need[at])
-        if covered.min() * epsilon >= 1:
-            break
-    least = max(covered.max(), 1.0)
-    left, out = need.astype(np.int64), []
-    for key, x in sorted(use.items(), key=lambda e: -e[1]):
-        at, copies = np.array([k for k, _ in key]), np.array([v for _, v in key], np.int64)
-        times = min(int(x / least), int((left[at] // copies).min()))
+    rest, logs, out = need.copy(), 1.05 * np.log(lengths / capacity), []
+    while len(alive := np.flatnonzero(rest > 0)):
+        own, top = lengths[alive], 0.0
+        worth, last = _knapsack(own, np.exp(logs[alive]), capacity)
+        top = worth[capacity]
+        around = np.exp(logs[alive]) + worth[capacity - own]
+        for i in [*np.flatnonzero(around >= (1 - epsilon) * top)[::-1][:AROUND], int(around.argmax())]:
+            used = _chosen(own, last, capacity - int(own[i]))
+            used[int(i)] = used.get(int(i), 0) + 1
+            at, copies = alive[list(used)], np.array(list(used.values()), np.float64)
+            if (rest[at] <= 0).any() or (np.exp(logs[at]) * copies).sum() < (1 - epsilon) * top:
+                continue
+            step = rest[at] / copies
+            first = int(step.argmin())
+            out.append(({int(n): int(k) for n, k in zip(lengths[at], copies, strict=True)}, float(step[first])))
+            rest[at] = np.maximum(rest[at] - step[first] * copies, 0)
+            rest[at[first]] = 0
+            logs[at] += np.log1p(-epsilon * step[first] * copies / need[at])
+    return out
+
+
+def solve(histogram: dict[int, int], capacity: int, *, epsilon: float = 0.15) -> list[tuple[dict[int, int], int]]:
+    """Configurations (length: copies) and how many sequences are filled by each, holding every piece exactly once."""
+    left, out = dict(histogram), []
+    for own, x in sorted(program(histogram, capacity, epsilon=epsilon), key=lambda e: -e[1]):
+        times = min(int(x + 1e-9), *(left[n] // k for n, k in own.items()))
         if times > 0:
-            left[at] -= times * copies
-            out.append(({int(lengths[k]): int(v) for k, v in key}, times))
-    return out + _best_fit({int(n): int(k) for n, k in zip(lengths, left, strict=True) if k}, capacity)
+            for n, k in own.items():
+                left[n] -= times * k
+            out.append((own, times))
+    return out + _best_fit({n: k for n, k in left.items() if k}, capacity)
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -200,7 +223,7 @@ def _places(configurations: list[tuple[dict[int, int], int]]) -> dict[str, np.nd
 RANKS = 1 << 50
 
 
-def pack(pieces: DataFrame, *, capacity: int = 2048, rounds: int = 240) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     """``pieces`` (of tokenize_pieces, written down) with sequence_id and offset; as few sequences as the program finds.
 
     A piece's rank among those of its length is its rank within its task plus the count of that length in the tasks
@@ -208,7 +231,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, rounds: int = 240) -> DataF
     """
     counts = materialize(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = pieces.sparkSession.sparkContext.broadcast(_places(solve(histogram, capacity, rounds=rounds)))
+    places = pieces.sparkSession.sparkContext.broadcast(_places(solve(histogram, capacity)))
     before = counts.select("length", "part", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     ranked = pieces.join(small(before, counts.count(), 1_000_000), ["length", "part"])
     keep = [f for f in pieces.schema.fields if f.name not in ("part", "rank")]

@@ -465,6 +465,24 @@ def test_configurations(seed):
     assert bins <= 1.02 * len(first_fit) + 1
 
 
+@pytest.mark.parametrize("pieces", [10_000, 200_000])
+def test_program_covers_every_length(pieces):
+    """At the capacity of production all lengths are covered exactly, near the bound, and few pieces are left to best-fit."""
+    x = np.exp(np.random.default_rng(1).normal(5.6, 0.9, pieces)).astype(int) + 1
+    need = collections.Counter(np.where(x > 2048, x % 2048 + 1, x).tolist())
+    bound = sum(n * k for n, k in need.items()) / 2048
+    found, covered = packing.program(dict(need), 2048), collections.Counter()
+    for own, times in found:
+        assert sum(n * k for n, k in own.items()) <= 2048
+        for n, k in own.items():
+            covered[n] += k * times
+    assert covered.keys() == need.keys() and all(covered[n] == pytest.approx(k) for n, k in need.items())
+    assert sum(times for _, times in found) < 1.001 * bound + 1
+    whole = sum(int(times + 1e-9) * sum(n * k for n, k in own.items()) for own, times in found)
+    assert whole > (0.85 if pieces < 100_000 else 0.98) * bound * 2048
+    assert sum(times for _, times in packing.solve(dict(need), 2048)) <= 1.001 * bound + 1
+
+
 # 10
 
 
