@@ -72,9 +72,9 @@ TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
 #: Chunks between blanks with a digit or an at sign; possessive, so that a long chunk without one is read once.
 _MARKED = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 #: Tokens in a segment at most, and characters of a stretch decoded together; longer ones are cut at a blank.
-LONGEST, STRETCH_CHARS = 12, 400
-#: A stretch without any of these holds no span of any kind, as in tables of numbers, and isn't decoded.
-_POSSIBLE = re.compile(r"@|\+[0-9]|\([0-9]{3}\)|[0-9]{3}-[0-9]{2,3}-[0-9]{4}|[0-9]{13}|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[A-Z]{2}[0-9]{2}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
+LONGEST, STRETCH_CHARS = 17, 400
+#: Segments whose best kinds a worker remembers, before it forgets them all; longer ones aren't remembered.
+SEEN_KEPT, SEEN_CHARS = 200_000, 80
 _CUES = {
     "ssn": "ssn", "social": "ssn", "security": "ssn", "iban": "iban", "account": "iban", "konto": "iban", "cuenta": "iban", "compte": "iban",
     "phone": "phone", "tel": "phone", "call": "phone", "telefon": "phone", "mobile": "phone", "fax": "phone",
@@ -119,25 +119,27 @@ def features(text: str, a: int, b: int, cue: str, n: int) -> list[str]:
 Lattice = tuple[list[tuple[int, int]], list[list[tuple[int, list[str]]]]]
 
 
-def lattice(text: str, lo: int, hi: int) -> Lattice:
-    """Token places of a stretch, and for each end the candidate segments (first token, features). Single tokens can also be outside."""
+def marked_tokens(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], list[str]]:
+    """Token places of a stretch, and of each the cue of the word before it."""
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, lo, hi)]
     m = _WORD_BEFORE.search(text, max(0, lo - 40), lo)
-    before = _CUES.get(m[1].lower(), "") if m else ""
-    cues, cue = [], before
+    cues, cue = [], _CUES.get(m[1].lower(), "") if m else ""
     for a, b in tokens:
         cues.append(cue)
         if text[a].isalpha() and b - a > 1:
             cue = _CUES.get(text[a:b].lower(), "")
-    ends = []
-    for j in range(len(tokens)):
-        own = []
-        for i in range(max(0, j + 1 - LONGEST), j + 1):
-            a, b = tokens[i][0], tokens[j][1]
-            if i == j or text[a].isalnum() or text[a] in "+(":
-                own.append((i, features(text, a, b, cues[i], j - i + 1)))
-        ends.append(own)
-    return tokens, ends
+    return tokens, cues
+
+
+def segments(text: str, tokens: list[tuple[int, int]], j: int) -> list[int]:
+    """First tokens of the candidate segments that end with token j."""
+    return [i for i in range(max(0, j + 1 - LONGEST), j + 1) if i == j or text[tokens[i][0]].isalnum() or text[tokens[i][0]] in "+("]
+
+
+def lattice(text: str, lo: int, hi: int) -> Lattice:
+    """Token places of a stretch, and for each end the candidate segments (first token, features). Single tokens can also be outside."""
+    tokens, cues = marked_tokens(text, lo, hi)
+    return tokens, [[(i, features(text, tokens[i][0], tokens[j][1], cues[i], j - i + 1)) for i in segments(text, tokens, j)] for j in range(len(tokens))]
 
 
 class Field:
@@ -146,29 +148,36 @@ class Field:
     def __init__(self) -> None:
         self.index: dict[str, int] = {}
         self.weights = np.zeros((0, len(KINDS) + 1))
-
-    def scores(self, lat: Lattice) -> list[list[tuple[int, np.ndarray]]]:
-        w, get = self.weights, self.index.get
-        out = []
-        for j, own in enumerate(lat[1]):
-            row = []
-            for i, names in own:
-                s = w[[k for k in map(get, names) if k is not None]].sum(axis=0)
-                if i < j:
-                    s[0] = -np.inf
-                row.append((i, s))
-            out.append(row)
-        return out
+        self.seen: dict[tuple, tuple[float, int]] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}}
+
+    def best(self, text: str, a: int, b: int, cue: str, n: int) -> tuple[float, int]:
+        """Score and kind (0: outside, for single tokens only) that suit a segment best; it depends on its text and neighbours."""
+        key = (text[max(0, a - 1) : b + 1], a == 0, b == len(text), cue, n) if b - a <= SEEN_CHARS else None
+        found = self.seen.get(key) if key else None
+        if found is None:
+            s = self.weights[[k for k in map(self.index.get, features(text, a, b, cue, n)) if k is not None]].sum(axis=0)
+            if n > 1:
+                s[0] = -np.inf
+            kind = int(s.argmax())
+            found = float(s[kind]), kind
+            if key:
+                if len(self.seen) >= SEEN_KEPT:
+                    self.seen.clear()
+                self.seen[key] = found
+        return found
 
     def decode(self, text: str, lo: int, hi: int) -> list[tuple[str, int, int]]:
-        lat = lattice(text, lo, hi)
-        tokens, best, back = lat[0], [0.0], [None]
-        for j, row in enumerate(self.scores(lat)):
+        tokens, cues = marked_tokens(text, lo, hi)
+        best, back = [0.0], [None]
+        for j in range(len(tokens)):
             top, how = -np.inf, None
-            for i, s in row:
-                k = int(s.argmax())
-                if best[i] + s[k] > top:
-                    top, how = best[i] + s[k], (i, k)
+            for i in segments(text, tokens, j):
+                score, k = self.best(text, tokens[i][0], tokens[j][1], cues[i], j - i + 1)
+                if best[i] + score > top:
+                    top, how = best[i] + score, (i, k)
             best.append(top)
             back.append(how)
         out, j = [], len(tokens)
@@ -303,8 +312,6 @@ def find_spans(text: str | None, field: Field) -> tuple[list[tuple[str, int, int
     own = base_spans(text)
     more = []
     for lo, hi in stretches(text or ""):
-        if not _POSSIBLE.search(text, lo, hi):
-            continue
         near = [(a, b) for _, a, b in own if a < hi and lo < b] if own else []
         if sum(b - a for a, b in near) >= hi - lo - 4:
             continue

@@ -258,6 +258,15 @@ def test_personal_data(spark, real, odd, none):
     assert any("[PHONE]" in (x.text or "") for x in clean) and pii.find_personal_data(none).count() == 0
 
 
+@pytest.mark.parametrize("text", ["Tel: 555 123 4567 today", "phone 555.123.4567 now", "call 01 23 45 67 89.", "Telefon 0171 2345678, danke"])
+def test_phones_without_plus(text):
+    """No stretch with a digit goes undecoded."""
+    field = pii.trained()
+    own, more = pii.find_spans(text, field)
+    assert not own and [k for k, _, _ in more] == ["phone"]
+    assert more == [s for lo, hi in pii.stretches(text) for s in field.decode(text, lo, hi)]
+
+
 # 6
 
 
