@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import alnum_words, table
 
-#: label, keyword, pattern of the name, pattern of versions or ''. Patterns are over lower-case words with one blank between.
+#: label, keywords, pattern of the name, pattern of versions or ''. Every match of the name has one of the keywords. Patterns are over lower-case words with one blank between.
 FAMILIES = [
     ("mit", "mit", "(?:the )?mit licen[sc]e", ""),
     ("mit-0", "mit", "mit (?:no attribution|0)", ""),
@@ -27,7 +27,7 @@ FAMILIES = [
     ("apache", "apache", "(?:the )?apache (?:software )?licen[sc]e", "1 0|1 1|2 0|2"),
     ("gpl", "general", "(?:gnu )?general public licen[sc]e", "1 0|1|2 0|2|3 0|3"),
     ("gpl", "gpl", "(?:gnu )?gpl(?: ?v)?", "1|2|3"),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public licen[sc]e", "2 0|2 1|2|3 0|3"),
+    ("lgpl", "lesser library", "(?:gnu )?(?:lesser|library) general public licen[sc]e", "2 0|2 1|2|3 0|3"),
     ("lgpl", "lgpl", "(?:gnu )?lgpl(?: ?v)?", "2 1|2|3"),
     ("agpl", "affero", "(?:gnu )?affero general public licen[sc]e", "1 0|3 0|3"),
     ("agpl", "agpl", "(?:gnu )?agpl(?: ?v)?", "3"),
@@ -42,7 +42,7 @@ FAMILIES = [
     ("epl", "eclipse", "eclipse public licen[sc]e", "1 0|2 0"),
     ("cddl", "distribution", "common development and distribution licen[sc]e", "1 0|1 1"),
     ("cpl", "common", "common public licen[sc]e", "1 0"),
-    ("eupl", "eupl", "(?:european union public licen[sc]e|eupl)", "1 0|1 1|1 2"),
+    ("eupl", "eupl union", "(?:european union public licen[sc]e|eupl)", "1 0|1 1|1 2"),
     ("cc-by", "cc", "cc by", "1 0|2 0|2 5|3 0|4 0"),
     ("cc-by-sa", "cc", "cc by sa", "1 0|2 0|2 5|3 0|4 0"),
     ("cc-by-nc", "cc", "cc by nc", "1 0|2 0|2 5|3 0|4 0"),
@@ -65,11 +65,11 @@ FAMILIES = [
     ("php", "php", "php licen[sc]e", "3 0|3 01"),
     ("openssl", "openssl", "openssl licen[sc]e", ""),
     ("ofl", "sil", "sil open font licen[sc]e", "1 0|1 1"),
-    ("odbl", "odbl", "(?:open database licen[sc]e|odbl)", "1 0"),
+    ("odbl", "odbl database", "(?:open database licen[sc]e|odbl)", "1 0"),
     ("odc-by", "odc", "odc (?:by|attribution licen[sc]e)", "1 0"),
     ("ms-pl", "microsoft", "microsoft public licen[sc]e", ""),
     ("ms-rl", "microsoft", "microsoft reciprocal licen[sc]e", ""),
-    ("sspl", "sspl", "(?:server side public licen[sc]e|sspl)", "1"),
+    ("sspl", "sspl side", "(?:server side public licen[sc]e|sspl)", "1"),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? licen[sc]e", ""),
     ("ecl", "educational", "educational community licen[sc]e", "1 0|2 0"),
     ("afl", "academic", "academic free licen[sc]e", "2 1|3 0"),
@@ -92,31 +92,38 @@ PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general publi
 NAME_ONLY_UNSAFE = {"cpl", "osl", "mpl", "cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd", "gpl"}
 
 
+def _joined(keywords: str, versions: str) -> set[str]:
+    """The keywords as words: a version, or a v, can be written to a name without a blank (gplv3, mpl2)."""
+    numbers = {"", *(v.split()[0] for v in versions.split("|") if v)}
+    return {k + v + n for k in keywords.split() for v in ("", "v") for n in numbers}
+
+
 @cache
 def rules() -> tuple[dict[bytes, list[int]], list[tuple[str, int, float, re.Pattern]]]:
     """By keyword the numbers of its rules; and the rules: label, priority, confidence, pattern."""
     made, by = [], {}
-    for label, keyword, name, versions in FAMILIES:
+    for label, keywords, name, versions in FAMILIES:
         for form, priority, confidence, around in FORMS:
             if "V" in around.replace("N", "") and form == "version" and not versions:
                 continue
             if form == "name" and label in NAME_ONLY_UNSAFE and "licen" not in name:
                 continue
             body = around.replace("V", f"(?:{versions})" if versions else "(?!)").replace("N", f"(?:{name})")
-            by.setdefault(keyword.encode(), []).append(len(made))
+            for k in _joined(keywords, versions):
+                by.setdefault(k.encode(), []).append(len(made))
             made.append((label, priority, confidence, re.compile(rf"(?<![^ ]){body}(?![^ ])")))
     return by, made
 
 
-def scan(words: list[bytes]) -> list[tuple[int, int, str, int, float]]:
-    """Surviving matches (first word, end, label, priority, confidence), by first word."""
+def scan(words: list[bytes], *, gate: bool = True) -> list[tuple[int, int, str, int, float]]:
+    """Surviving matches (first word, end, label, priority, confidence), by first word. Without ``gate`` all rules are tried, with the same result."""
     by, made = rules()
-    present = by.keys() & set(words)
+    present = by.keys() & set(words) if gate else by.keys()
     if not present:
         return []
     line = b" ".join(words).decode("utf-8", "surrogatepass")
     found = []
-    for r in sorted(i for k in present for i in by[k]):
+    for r in sorted({i for k in present for i in by[k]}):
         label, priority, confidence, pattern = made[r]
         found += [(-priority, m.start() - m.end(), m.start(), m.end(), label, confidence) for m in pattern.finditer(line)]
     if not found:
