@@ -369,6 +369,26 @@ def feat_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(features.pair_features_variant(blocking.candidates_variant(a, b, TOP), a, b))
 
 
+# The same at the caps of production
+
+
+@query
+def cand_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _sides(spark, sf_dir)
+    return tsv.id_lists(_roster(a), blocking.candidates(a, b, DEFAULT), "candidate_entity_ids")
+
+
+@query
+def cand_mod_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.candidates_variant(*_variant(spark, sf_dir), DEFAULT)
+
+
+@query
+def feat_mod_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _variant(spark, sf_dir)
+    return _rounded(features.pair_features_variant(blocking.candidates_variant(a, b, DEFAULT), a, b))
+
+
 # The model
 
 
