@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -69,10 +70,10 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-#: Chunks between blanks with a digit or an at sign; possessive, so that a long chunk without one is read once.
-_MARKED = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
-#: Tokens in a segment at most, and characters of a stretch decoded together; longer ones are cut at a blank.
-LONGEST, STRETCH_CHARS = 17, 400
+#: Chunks between blanks with a digit or an at sign, or (the group) with an IBAN's letters; possessive, so that a long chunk without one is read once.
+_MARKED = re.compile(r"(?<!\S)(?:[^\s0-9@]*+[0-9@]\S*+|([A-Z]{1,4})(?![A-Za-z])\S*+)")
+#: Tokens in a segment at most, and characters that a word is a cue for, from its end on.
+LONGEST, CUE_CHARS = 17, 400
 #: Segments whose best kinds a worker remembers, before it forgets them all; longer ones aren't remembered.
 SEEN_KEPT, SEEN_CHARS = 200_000, 80
 _CUES = {
@@ -124,10 +125,11 @@ def marked_tokens(text: str, lo: int, hi: int) -> tuple[list[tuple[int, int]], l
     tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, lo, hi)]
     m = _WORD_BEFORE.search(text, max(0, lo - 40), lo)
     cues, cue = [], _CUES.get(m[1].lower(), "") if m else ""
+    until = lo + CUE_CHARS
     for a, b in tokens:
-        cues.append(cue)
+        cues.append(cue if a < until else "")
         if text[a].isalpha() and b - a > 1:
-            cue = _CUES.get(text[a:b].lower(), "")
+            cue, until = _CUES.get(text[a:b].lower(), ""), b + CUE_CHARS
     return tokens, cues
 
 
@@ -293,32 +295,36 @@ def trained(sentences: int = 420, seed: int = 7) -> Field:
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of chunks that hold a digit or at sign, one blank apart; joined up to STRETCH_CHARS."""
+    """Stretches of chunks that hold a digit or at sign, with blanks only or an IBAN's groups of letters between them and after."""
     lo = hi = -1
     for m in _MARKED.finditer(text):
         a, b = m.span()
-        if lo >= 0 and a == hi + 1 and text[hi] == " " and b - lo <= STRETCH_CHARS:
+        if lo >= 0 and not text[hi:a].strip(" "):
             hi = b
             continue
         if lo >= 0:
             yield lo, hi
-        lo, hi = a, b
+        lo, hi = (a, b) if m[1] is None else (-1, -1)
     if lo >= 0:
         yield lo, hi
 
 
 def find_spans(text: str | None, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans, and those that the field adds: they overlap no base span."""
+    """Base spans, and those that the field adds: they overlap no base span. A stretch is decoded whole, however long it is."""
     own = base_spans(text)
+    starts, ends = [], []  # of the base spans' union: both ascend
+    for a, b in sorted((a, b) for _, a, b in own):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     more = []
     for lo, hi in stretches(text or ""):
-        near = [(a, b) for _, a, b in own if a < hi and lo < b] if own else []
-        if sum(b - a for a, b in near) >= hi - lo - 4:
+        near = range(bisect_right(ends, lo), bisect_left(starts, hi))
+        if sum(min(ends[k], hi) - max(starts[k], lo) for k in near) >= hi - lo - 4:
             continue
-        for x in range(lo, hi, STRETCH_CHARS):  # a chunk without a blank can be long
-            for k, a, b in field.decode(text, x, min(hi, x + STRETCH_CHARS)):
-                if not any(a < d and c < b for c, d in near):
-                    more.append((k, a, b))
+        more += [(k, a, b) for k, a, b in field.decode(text, lo, hi) if bisect_right(ends, a) == bisect_left(starts, b)]
     return own, more
 
 
