@@ -1,53 +1,48 @@
-"""Language-model scores from a hierarchical Pitman-Yor model sampled by Gibbs.
+"""Language-model scores from a hierarchical Pitman-Yor model whose seating is sampled by Gibbs.
 
-Layers of Chinese restaurants:
+Three layers of Chinese restaurants: one for each context of two words, whose customers are the training tokens; one for each
+context of one word, the parent of all contexts that end in that word; and the corpus, the parent of these. Customers of a
+parent are the tables of its children. The corpus opens a table for every word and leaves the rest to the unknown word.
 
-* Spelling: the restaurants of all two-byte contexts share their one-byte parents, these share a root. They seat the
-  training words as types, so any word has a probability, known or not.
-* Corpus: one restaurant of words; its parent is the spelling.
-* Contexts: a restaurant for each word, seating what follows it, has the corpus as its parent; one for each two words, which seats
-  the training tokens, has that of the second word. There are as many as the training texts have contexts.
-* Document: each text is a restaurant, and its tokens are predicted in their order; the parent of each is its context's.
+A sweep removes all customers of a dish and seats them anew: the number of tables comes from its conditional distribution given
+the other dishes' tables, with generalised Stirling numbers up to ``EXACT`` customers; beyond by the normal approximation around its
+saddle point, or its limit where few tables are likely. Dishes of a layer move together, given the tables of the sweep before (as in distributed Gibbs samplers).
+Predictive probabilities are averaged over the sweeps after the burn-in.
 
-A sweep seats every word anew given the tables of the sweep before, with the uniforms hashed from word and sweep, so a lost task
-seats the same customers at the same tables. Predictive probabilities are averaged over the sweeps after the first.
-
-Words are counted in blocks of consecutive ids. A block's distinct words fetch their counts by a join, and a block's texts
-are scored beside that slice of the model, so no task holds a vocabulary larger than its own texts.
+Restaurants of one-word contexts are dealt to parts by a hash of the word, with all the two-word contexts above them, so a part is
+seated alone. A word that more than ``split`` tokens follow has several restaurants, told apart by a hash of the word before it.
+Texts are held in blocks of about ``block`` tokens; a block sends each part its distinct trigrams and gets their probabilities
+back. The corpus is counted from a first pass over all parts and used in the second.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import struct
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import int_id, materialize, space_words, table
-
-#: The end of a text, which no word equals.
-END = b"\n"
-#: Documents in a block.
-BLOCK = 4096
-#: Discount and strength of the spelling restaurants, and the corpus restaurant's strength.
-SPELL_D, SPELL_S = 0.6, 2.0
-CORPUS_S = 1.0
-#: Strength of the bigram and trigram restaurants.
-CONTEXT_S = 1.0
-SWEEPS = 4
-#: Stands for the words before a text's first.
-START = np.zeros(1, np.int64)
-
+from .common import discard, materialize, space_words, table
 
-def held_out(doc_id: int | None) -> bool:
-    return zlib.crc32(str("" if doc_id is None else doc_id).encode()) % 10 == 0
+#: The end of a text, which no word equals, and what stands for the words before its first.
+END, START = b"\n", 0
+#: Customers of a dish up to which its tables are drawn from the exact conditional.
+EXACT = 256
+#: Tables at the saddle point below which the limit stands for it.
+FEW = 12
+#: Discount of the contexts until counted, and the strength of all restaurants.
+DISCOUNT, STRENGTH = 0.8, 1.0
+#: The most frequent words, which driver and executors know by a number, and the numbers in a shard of their table counts.
+FREQUENT, SHARD = 1 << 18, 1 << 14
+#: Sweeps of the first pass, and of the second with its burn-in.
+FIRST, SWEEPS, BURN_IN = 2, 4, 2
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -55,326 +50,377 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.int64)
-
-
-def _uniform(key: np.ndarray, *salt: int) -> np.ndarray:
-    """In (0, 1), a hash of key and salt."""
-    x = key.astype(np.uint64)
-    for s in salt:
-        x = (x + np.full(1, (s * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % (1 << 64), np.uint64)) * np.full(1, 0xBF58476D1CE4E5B9, np.uint64)
-        x ^= x >> np.uint64(31)
-        x *= np.full(1, 0x94D049BB133111EB, np.uint64)
-        x ^= x >> np.uint64(29)
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-
-
-def _poisson(rate: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Poisson numbers from uniforms: by inversion, from 12 on by the normal approximation."""
-    out = np.maximum(0, np.rint(rate + np.sqrt(rate) * np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * v)))
-    low = rate < 12
-    p = np.exp(-rate[low])
-    total, n, k = p.copy(), np.zeros(len(p)), 0
-    while k < 60 and (more := u[low] > total).any():
-        k += 1
-        p = p * rate[low] / k
-        n[more] = k
-        total += p
-    out[low] = n
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of an ordered pair of hashes."""
+    x = a * _A ^ (b + np.uint64(0x632BE59BD9B4E019))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * _B
+    return x ^ (x >> np.uint64(32))
+
+
+def press(values: np.ndarray) -> bytes:
+    """Unsigned 32- or 64-bit numbers, a plane for each byte, compressed."""
+    size = values.dtype.itemsize
+    planes = values.view(np.uint8).reshape(-1, size).T.tobytes()
+    return struct.pack("<Q", len(planes)) + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpress(data: bytes, kind: type = np.uint32) -> np.ndarray:
+    n = struct.unpack_from("<Q", data)[0]
+    size = np.dtype(kind).itemsize
+    planes = pa.decompress(data[8:], n, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+class Frequent:
+    """The most frequent training words: sorted hashes with their counts, and the number of training tokens and words."""
+
+    def __init__(self, word: np.ndarray, n: np.ndarray, total: int, known: int):
+        order = np.argsort(word)
+        self.word, self.n, self.total, self.known = word[order], n[order], total, known
+
+    def codes(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """32-bit codes of words, and the hashes of the rare ones: their codes are from len(self.word) on."""
+        one, which = np.unique(word, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.word, one), max(len(self.word) - 1, 0))
+        found = self.word[at] == one if len(self.word) else np.zeros(len(one), bool)
+        code = np.where(found, at, len(self.word) + np.cumsum(~found) - 1).astype(np.uint32)
+        return code[which.ravel()], one[~found]
+
+    def words(self, code: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.word, rare])[code]
+
+
+@cache
+def _ratios(discount: float) -> list[np.ndarray]:
+    """For n customers: the generalised Stirling numbers of t + 1 tables over those of t, t from 1."""
+    row, out = np.array([0.0]), [np.zeros(0), np.zeros(0)]
+    for n in range(1, EXACT):
+        row = np.logaddexp(np.append(np.log(n - discount * np.arange(1, n + 1)) + row, -np.inf), np.append(-np.inf, row))
+        out.append(np.exp(np.diff(row)))
     return out
 
 
-def seat(customers: np.ndarray, parent: np.ndarray, discount: float, key: np.ndarray, sweep: int) -> np.ndarray:
-    """Tables that each dish's customers take, one after another: a customer opens a table with the chance
-    parent / (seated - discount * tables + parent), parent being (strength + discount * all tables) * parent's probability.
+def draw(n: np.ndarray, p: np.ndarray, others: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with n customers whose parent's probability is p, given the restaurant's other tables.
 
-    The first 16 are seated singly; then an eighth of those seated come in at once, as a Poisson number of new tables.
+    t has a weight of S(n, t) * p**t * (strength + discount * others) * ... * (strength + discount * (others + t - 1)).
     """
-    tables = np.minimum(customers, 1).astype(np.float64)
-    rows, seated = np.flatnonzero(customers > 1), 1
-    while len(rows):
-        t, a = tables[rows], parent[rows]
-        come = np.minimum(1 if seated < 16 else seated // 8, customers[rows] - seated).astype(np.float64)
-        chance = a / (seated - discount * t + a)
-        u = _uniform(key[rows], sweep, seated)
-        new = (u < chance) if seated < 16 else _poisson(chance * come, u, _uniform(key[rows], sweep, seated, 1))
-        tables[rows] = t + np.minimum(new, come)
-        seated += 1 if seated < 16 else seated // 8
-        rows = rows[customers[rows] > seated]
+    tables = np.minimum(n, 1).astype(np.float64)
+    size = np.minimum(n, EXACT + 1).astype(np.uint16)
+    order = np.argsort(size, kind="stable")
+    ends = np.searchsorted(size[order], np.arange(EXACT + 3))
+    for m in range(2, EXACT + 1):
+        at = order[ends[m] : ends[m + 1]]
+        if len(at):
+            step = _ratios(discount)[m] * p[at, None] * (STRENGTH + discount * (others[at, None] + np.arange(1, m)))
+            log = np.concatenate([np.zeros((len(at), 1)), np.cumsum(np.log(step), axis=1)], axis=1) if m > 2 else np.log(np.append(np.ones((len(at), 1)), step, axis=1))
+            weight = np.cumsum(np.exp(log - log.max(axis=1, keepdims=True)), axis=1)
+            tables[at] = 1 + ((rng.random(len(at)) * weight[:, -1])[:, None] > weight[:, :-1]).sum(axis=1)
+    at = order[ends[EXACT + 1] :]
+    if len(at):
+        tables[at] = _draw_many(n[at].astype(np.float64), p[at], others[at], discount, rng)
     return tables
 
 
-class Spelling:
-    """Averaged predictive probabilities of bytes: own (sorted codes of three bytes), weight by two bytes, and of two bytes."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        self.codes = codes.astype(np.int64)
-        n = counts.astype(np.float64)
-        context, suffix = self.codes >> 8, self.codes & 0xFFFF
-        total = np.bincount(context, n, 1 << 16)
-        t3, t2, t1 = np.ones(len(n)), None, None
-        own, weight, two = np.zeros(len(n)), np.zeros(1 << 16), np.zeros(1 << 16)
-        d, s = SPELL_D, SPELL_S
-        every = np.arange(1 << 16)
-        for sweep in range(SWEEPS):
-            c2 = np.bincount(suffix, t3, 1 << 16)
-            if t2 is None:
-                t2 = np.minimum(c2, 1)
-            c1 = np.bincount(every & 0xFF, t2, 256)
-            if t1 is None:
-                t1 = np.minimum(c1, 1)
-            p1 = (np.maximum(c1 - d * t1, 0) + (s + d * t1.sum()) / 256) / (s + c1.sum())
-            s2, all2 = np.bincount(every >> 8, t2, 256), np.bincount(every >> 8, c2, 256)
-            p2 = (np.maximum(c2 - d * t2, 0) + (s + d * s2)[every >> 8] * p1[every & 0xFF]) / (s + all2)[every >> 8]
-            open3 = s + d * np.bincount(context, t3, 1 << 16)
-            if sweep:
-                own += (n - d * t3) / (s + total[context]) / (SWEEPS - 1)
-                weight += open3 / (s + total) / (SWEEPS - 1)
-                two += p2 / (SWEEPS - 1)
-            t3 = seat(n, open3[context] * p2[suffix], d, self.codes, sweep)
-            c2 = np.bincount(suffix, t3, 1 << 16)
-            t2 = seat(c2, (s + d * s2)[every >> 8] * p1[every & 0xFF], d, every, sweep + 100)
-            t1 = seat(np.bincount(every & 0xFF, t2, 256), np.full(256, (s + d * t1.sum()) / 256), d, np.arange(256), sweep + 200)
-        self.own, self.weight, self.two = own, weight, two
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """Of each word with its end."""
-        codes, starts = _codes(words)
-        if not len(codes):
-            return np.zeros(len(words))
-        p = self.weight[codes >> 8] * self.two[codes & 0xFFFF]
-        if len(self.codes):
-            k = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            p += np.where(self.codes[k] == codes, self.own[k], 0)
-        return np.add.reduceat(np.log10(p), starts)
-
-
-def _codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of three bytes, one for each byte of each word and its end, and where each word's start."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 3
-    b = np.frombuffer(b"\0\0" + b"\0\0\0".join(words) + b"\0" if words else b"", np.uint8).astype(np.int64)
-    code = b[:-2] << 16 | b[1:-1] << 8 | b[2:] if len(b) > 2 else np.zeros(0, np.int64)
-    ends = np.cumsum(lengths)
-    keep = np.ones(len(code), bool)
-    for back in (2, 1):  # those that reach into the next word
-        cut = ends[:-1] - back
-        keep[cut] = False
-    starts = np.concatenate([[0], np.cumsum(lengths[:-1] - 2)]) if words else np.zeros(0, np.int64)
-    return code[keep], starts
-
-
-def _spell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 24, np.int32)
-    for batch in batches:
-        for lo in range(0, len(batch), 1024):
-            some = batch.slice(lo, 1024)
-            own: set[bytes] = set()
-            for doc, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
-                if not held_out(doc):
-                    own.update(space_words(text))
-            if own:
-                codes, n = np.unique(_codes(list(own))[0], return_counts=True)
-                total[codes] += n.astype(np.int32)
-    codes = np.flatnonzero(total)
-    for lo in range(0, len(codes), 500_000):
-        some = codes[lo : lo + 500_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], ["code", "n"])
-
-
-def _block_words(spelling):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, trained, seen = None, Counter(), set()
+def _draw_many(n: np.ndarray, p: np.ndarray, others: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """The same for many customers: around the saddle point of the weights, or, where few tables are likely, by their limit for
+    n without end, a negative binomial."""
+
+    def slope(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tables whose Stirling number has its saddle point at 1 - exp(s), and the slope of the log weight there."""
+        rest = -np.expm1(discount * s)
+        t = n * np.exp(s * (1 - discount)) * rest / (discount * -np.expm1(s))
+        return t, np.log(rest / discount) - np.log(t) + np.log(p * (STRENGTH + discount * (others + t)))
+
+    low, high = np.full(len(n), -300.0), np.full(len(n), -1e-9)
+    for _ in range(45):
+        mid = (low + high) / 2
+        up = slope(mid)[1] > 0
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    (t0, g0), (t1, g1) = slope(low - 1e-3 * np.abs(low)), slope(low)
+    tables = np.rint(t1 + np.sqrt(np.maximum((t1 - t0) / np.maximum(g0 - g1, 1e-12), 0)) * rng.standard_normal(len(n)))
+    few = t1 < FEW
+    tables[few] = 1 + rng.poisson(rng.gamma(STRENGTH / discount + others[few] + 1) * p[few] / (1 - np.minimum(p[few], 0.999)))
+    return np.clip(tables, 1, n)
 
-        def rows() -> pa.RecordBatch:
-            words = list(seen.union(trained))
-            columns = [pa.array(np.full(len(words), block or 0, np.int64)), pa.array(hashes(words)), pa.array(np.fromiter((trained[w] for w in words), np.int64, len(words))), pa.array(spelling.value.log10(words).astype(np.float32))]
-            trained.clear()
-            seen.clear()
-            return pa.RecordBatch.from_arrays(columns, ["block", "word", "n", "spelt"])
 
+def seat(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, base: np.ndarray, discounts: tuple[float, float], sweeps: int, burn_in: int, rng: np.random.Generator):
+    """Averaged probabilities of distinct trigrams (restaurant u above v, dish w) with n customers each, by any v's restaurants alone.
+
+    ``base`` is the corpus's probability of w. Also returns the index of each one's bigram, the bigrams' tables, and customers.
+    """
+    d3, d2 = discounts
+    _, c = np.unique(mix(u, v), return_inverse=True)
+    _, first, b = np.unique(mix(v, w), return_index=True, return_inverse=True)
+    c, b = c.ravel(), b.ravel()
+    _, r = np.unique(v[first], return_inverse=True)
+    r, base2 = r.ravel(), base[first]
+    total3 = np.bincount(c, n)
+    some, many = n > 0, np.flatnonzero(n > 1)
+    t3 = some.astype(np.float64)
+    c2 = np.bincount(b, t3, len(first))
+    t2 = np.minimum(c2, 1)
+    out = np.zeros(len(n))
+    for sweep in range(sweeps):
+        all2, open2 = np.bincount(r, c2), STRENGTH + d2 * np.bincount(r, t2)
+        p2 = (c2 - d2 * t2 + open2[r] * base2) / (STRENGTH + all2[r])
+        sum3 = np.bincount(c, t3)
+        if len(many):
+            t3[many] = draw(n[many], p2[b[many]], sum3[c[many]] - t3[many], d3, rng)
+        c2 = np.bincount(b, t3, len(first))
+        t2 = draw(c2, base2, np.bincount(r, t2)[r] - t2, d2, rng)
+        if sweep >= burn_in:
+            all2, open2 = np.bincount(r, c2), STRENGTH + d2 * np.bincount(r, t2)
+            p2 = (c2 - d2 * t2 + open2[r] * base2) / (STRENGTH + all2[r])
+            out += (n - d3 * t3 + (STRENGTH + d3 * np.bincount(c, t3))[c] * p2[b]) / (STRENGTH + total3[c])
+    return out / max(sweeps - burn_in, 1), first, c2, t2
+
+
+class Texts:
+    """A block of texts: what it sends to the parts, and where the answers belong."""
+
+    def __init__(self, row: dict, frequent: Frequent, parts: int, split: int):
+        self.ids, self.held, self.lengths = row["ids"], np.array(row["held"]), np.array(row["lengths"])
+        words = frequent.words(unpress(row["codes"]), unpress(row["rare"], np.uint64))
+        starts = np.cumsum(self.lengths) - self.lengths
+        before = np.concatenate([[np.uint64(START)], words[:-1]])
+        before[starts] = START
+        u = np.concatenate([[np.uint64(START)], before[:-1]])
+        u[starts] = START
+        _, first, self.which = np.unique(mix(mix(u, before), words), return_index=True, return_inverse=True)
+        self.which = self.which.ravel()
+        self.n = np.bincount(self.which, np.repeat(~self.held, self.lengths), len(first)).astype(np.uint32)
+        self.u, self.w, v = u[first], words[first], before[first]
+        # the restaurant: the word before, and a hash of the one before that where very many tokens follow the word
+        at = np.minimum(np.searchsorted(frequent.word, v), max(len(frequent.word) - 1, 0))
+        follow = np.where(frequent.word[at] == v, frequent.n[at], 0) if len(frequent.word) else np.zeros(len(v), np.int64)
+        buckets = (follow // split + 1).astype(np.uint64)
+        self.v = np.where(buckets > 1, mix(v, mix(self.u, v) % buckets), v)
+        part = (mix(self.v, self.v) % np.uint64(parts)).astype(np.int64)
+        self.order = np.lexsort((self.v, part))
+        self.part, cuts = np.unique(part[self.order], return_index=True)
+        self.cuts = [*cuts.tolist(), len(part)]
+
+
+def _pieces(row: dict, shared) -> Iterator[tuple[int, int, bytes]]:
+    frequent, parts, split = shared.value
+    texts = Texts(row, frequent, parts, split)
+    for k, part in enumerate(texts.part.tolist()):
+        at = texts.order[texts.cuts[k] : texts.cuts[k + 1]]
+        arrays = [press(x) for code, rare in (frequent.codes(texts.u[at]), frequent.codes(texts.w[at])) for x in (code, rare)]
+        one, first = np.unique(texts.v[at], return_index=True)  # in order of v within a part
+        arrays += [press(one), press(np.diff(np.append(first, len(at))).astype(np.uint32)), press(texts.n[at])]
+        yield part, row["block"], b"".join(struct.pack("<Q", len(a)) + a for a in arrays)
+
+
+def _send(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, doc, text in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if b != block:
-                    if block is not None:
-                        yield rows()
-                    block = b
-                (seen if held_out(doc) else trained).update(tokens(text))
-        if block is not None:
-            yield rows()
+            for k in range(len(batch)):
+                part, block, data = zip(*_pieces(batch.slice(k, 1).to_pylist()[0], shared), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(block, pa.int64()), pa.array(data, pa.binary())], ["part", "block", "data"])
 
     return run
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of an ordered pair of hashes."""
-    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (b.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
-    for shift, by in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
-    return (x ^ (x >> np.uint64(31))).astype(np.int64)
+def _received(rows: pa.Table, frequent: Frequent):
+    """Blocks and their row counts, and the rows of a part: u, v, w, n."""
+    rows = rows.sort_by("block")
+    out, sizes = [], []
+    for data in rows.column("data").to_pylist():
+        arrays, at = [], 0
+        while at < len(data):
+            size = struct.unpack_from("<Q", data, at)[0]
+            arrays.append(data[at + 8 : at + 8 + size])
+            at += 8 + size
+        u = frequent.words(unpress(arrays[0]), unpress(arrays[1], np.uint64))
+        w = frequent.words(unpress(arrays[2]), unpress(arrays[3], np.uint64))
+        v = np.repeat(unpress(arrays[4], np.uint64), unpress(arrays[5]))
+        out.append((u, v, w, unpress(arrays[6])))
+        sizes.append(len(u))
+    u, v, w, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    _, first, which = np.unique(mix(mix(u, v), w), return_index=True, return_inverse=True)
+    which = which.ravel()
+    return rows.column("block").to_pylist(), sizes, which, u[first], v[first], w[first], np.bincount(which, n, len(first))
+
+
+_LAYERS = "kind int, part bigint, word bigint, tables double, data binary"
+
+
+def _first_pass(shared):
+    """Kind 0: tables of a shard of the frequent words; 1: of a rare word; 2: how many trigrams and bigrams have one and two customers."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        frequent, part = shared.value[0], rows.column("part")[0].as_py()
+        _, _, _, u, v, w, n = _received(rows, frequent)
+        one, which = np.unique(w, return_inverse=True)
+        which = which.ravel()
+        code, rare = frequent.codes(one)
+        often = code < len(frequent.word)
+        spare = max(frequent.total - int(frequent.n.sum()), 1) / max(frequent.known - len(frequent.word), 1)
+        guess = np.where(often, frequent.n[np.where(often, code, 0)] if len(frequent.n) else 1, spare) / max(frequent.total, 1)
+        _, first, c2, t2 = seat(u, v, w, n, guess[which], (DISCOUNT, DISCOUNT), FIRST, FIRST, np.random.default_rng([part, 1]))
+        tables = np.bincount(which[first], t2, len(one))
+        out = [(2, k, float(x), None) for k, x in enumerate([(n == 1).sum(), (n == 2).sum(), (c2 == 1).sum(), (c2 == 2).sum()])]
+        dense = np.zeros(len(frequent.word), np.uint32)
+        dense[code[often]] = tables[often]
+        out += [(0, k, None, press(dense[k * SHARD : (k + 1) * SHARD])) for k in range(-(-len(dense) // SHARD))]
+        m = len(rare)
+        kind, word, number, data = zip(*out, strict=True)
+        return pa.table(
+            {
+                "kind": pa.array(np.concatenate([kind, np.full(m, 1)]), pa.int32()), "part": pa.array(np.full(len(kind) + m, part)),
+                "word": pa.array(np.concatenate([np.array(word, np.int64), rare.view(np.int64)])), "tables": pa.array([*number, *tables[~often].tolist()], pa.float64()),
+                "data": pa.array([*data, *[None] * m], pa.binary()),
+            }
+        )
+
+    return run
 
 
-def grams(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: the hash of the two words before it, of the one before it, and its own."""
-    w = hashes(tokens(text))
-    before = np.concatenate([START, START, w])
-    return _mix(before[:-2], before[1:-1]), before[1:-1], w
+def _sum_shard(rows: pa.Table) -> pa.Table:
+    total = sum(unpress(d).astype(np.int64) for d in rows.column("data").to_pylist())
+    return pa.table({"word": pa.array(np.arange(len(total)) + rows.column("word")[0].as_py() * SHARD), "tables": pa.array(total)})
+
+
+def _second_pass(shared, corpus):
+    def run(rows: pa.Table, rare: pa.Table) -> pa.Table:
+        if not len(rows):
+            return pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "p": pa.array([], pa.binary()), "n": pa.array([], pa.binary())})
+        frequent, part = shared.value[0], rows.column("part")[0].as_py()
+        blocks, sizes, which, u, v, w, n = _received(rows, frequent)
+        often, unknown, strength, discounts = corpus.value
+        rare = rare.filter(pa.compute.is_valid(rare.column("word")))
+        words = np.concatenate([frequent.word, rare.column("word").to_numpy().view(np.uint64)])
+        order = np.argsort(words)
+        p1 = np.concatenate([often, rare.column("p").to_numpy()])[order]
+        count = np.concatenate([frequent.n, rare.column("n").to_numpy()])[order]
+        at = np.minimum(np.searchsorted(words[order], w), max(len(words) - 1, 0))
+        found = words[order][at] == w if len(words) else np.zeros(len(w), bool)
+        base = np.where(found, p1[at] if len(words) else 0, unknown)
+        count = np.where(found, count[at] if len(words) else 0, 0).astype(np.uint64)
+        p = seat(u, v, w, n, base, discounts, SWEEPS, BURN_IN, np.random.default_rng([part, 2]))[0].astype(np.float32)
+        cuts = np.cumsum(sizes)[:-1]
+        return pa.table(
+            {
+                "block": pa.array(blocks, pa.int64()), "part": pa.array([part] * len(blocks), pa.int64()),
+                "p": pa.array([x.tobytes() for x in np.split(p[which], cuts)], pa.binary()), "n": pa.array([press(x) for x in np.split(count[which], cuts)], pa.binary()),
+            }
+        )
+
+    return run
 
 
-def _block_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each trigram of a block: how often the block's training texts have it."""
-    block, held = None, []
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct training words of each four million tokens."""
+    held, size = [], 0
 
     def rows() -> pa.RecordBatch:
-        c, v, w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        word, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        _, first, which = np.unique(_mix(c, w), return_index=True, return_inverse=True)
-        counts = np.bincount(which, n, len(first)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), block, np.int64)), *(pa.array(x[first]) for x in (c, v, w)), pa.array(counts)], ["block", "c", "v", "w", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
     for batch in batches:
-        for b, doc, text in zip(batch.column("block").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if b != block:
-                if held:
-                    yield rows()
-                block = b
-            own = grams(text)
-            held.append((*own, np.full(len(own[2]), not held_out(doc), np.int8)))
+        for text in batch.column("text").to_pylist():
+            held.append(hashes(tokens(text)))
+            size += len(held[-1])
+            if size > 4_000_000:
+                yield rows()
+                size = 0
     if held:
         yield rows()
 
 
-def _seated(customers: Column, parent: Column, key: list[str], discount: float, sweep: int) -> Column:
-    @F.pandas_udf("double")
-    def tables(n: pd.Series, a: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(seat(n.to_numpy(np.float64), a.to_numpy(np.float64), discount, _mix(x.to_numpy(np.int64), y.to_numpy(np.int64)), sweep))
-
-    return tables(customers, parent, *map(F.col, key))
-
-
-def _discount(df: DataFrame, n: str) -> float:
-    n1, n2 = df.agg(F.sum((F.col(n) == 1).cast("long")), F.sum((F.col(n) == 2).cast("long"))).first()
-    return min(max((n1 or 0) / ((n1 or 0) + 2 * (n2 or 0) or 1), 0.1), 0.95)
+def _make_blocks(frequent, block: int, kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, words, made, size = [], [], [], TaskContext.get().partitionId() << 32, 0
 
+        def row() -> pa.RecordBatch:
+            code, rare = frequent.value.codes(np.concatenate(words))
+            columns = {"block": ([made], pa.int64()), "ids": ([list(ids)], pa.list_(kind)), "held": ([list(held)], pa.list_(pa.bool_())), "lengths": ([[len(x) for x in words]], pa.list_(pa.int64())), "codes": ([press(code)], pa.binary()), "rare": ([press(rare)], pa.binary())}
+            for x in (ids, held, words):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(*x) for x in columns.values()], list(columns))
 
-def _sum(df: DataFrame, *names: str) -> list[float]:
-    return [float(x or 0) for x in df.agg(*map(F.sum, names)).first()]
+        for batch in batches:
+            for doc, own, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held", "text")), strict=True):
+                ids.append(doc)
+                held.append(own)
+                words.append(hashes(tokens(text)))
+                size += len(words[-1])
+                if size >= block:
+                    yield row()
+                    made, size = made + 1, 0
+        if ids:
+            yield row()
 
+    return run
 
-def word_contexts(tri: DataFrame, words: DataFrame) -> tuple[DataFrame, float]:
-    """(c, w, p) of each row of ``tri`` (c, v, w, n), and the probability of an unknown word without a context.
 
-    Trigram restaurants, by c, share the bigram restaurants, by v, as parents; these share the corpus restaurant, whose parent is
-    the spelling. Customers of a parent are its children's tables. A dish with one customer always has one table, so the sweeps
-    seat the others only; the rest enters as sums. Probabilities are those of the sweeps after the first, averaged.
-    """
-    S, last, col = CONTEXT_S, SWEEPS - 1, F.col
-    seen = tri.filter("n > 0")
-    bi = materialize(tri.groupBy("v", "w").agg(F.sum("n").alias("n"), F.sum((col("n") == 1).cast("double")).alias("f")), "bigrams")
-    contexts = materialize(seen.groupBy("c").agg(F.sum("n").alias("total"), F.sum((col("n") == 1).cast("double")).alias("single")), "contexts")
-    one = bi.filter("n = 1")
-    zero = lambda *names: [F.lit(0.0).alias(x) for x in names]
-    # tables of a trigram: t, over the sweeps ts; of a bigram: customers c2, tables t2; of a word: customers c1, tables t1
-    A = materialize(seen.filter("n > 1").join(contexts, "c").select("c", "v", "w", "n", "single", F.lit(1.0).alias("t"), *zero("ts")), "trigrams")
-    many = A.groupBy("v", "w").agg(F.sum("t").alias("t"))
-    B = materialize(bi.filter("n > 1").join(many, ["v", "w"], "left").select("v", "w", "f", (col("f") + F.coalesce("t", F.lit(0.0))).alias("c2"), F.lit(1.0).alias("t2"), *zero("own")), "pairs")
-    V = bi.filter("n > 0").groupBy("v").agg(F.sum((col("n") == 1).cast("double")).alias("f")).select("v", "f", *zero("open", "inverse"))
-    W = words.filter("n > 0").select(col("word").alias("w"), F.pow(F.lit(10.0), col("spelt").cast("double")).alias("spelt"))
-    W = W.join(one.groupBy("w").agg(F.count("*").cast("double").alias("f")), "w", "left").fillna(0.0, ["f"])
-    W = W.join(B.groupBy("w").agg(F.sum("t2").alias("t2")), "w", "left").fillna(0.0, ["t2"])
-    W = materialize(W.select("w", "spelt", "f", (col("f") + col("t2")).alias("c1"), F.lit(1.0).alias("t1"), *zero("ps")), "unigrams")
-    d3, d2, d1 = _discount(seen, "n"), _discount(B.select("c2").union(one.select(F.lit(1.0))), "c2"), _discount(W, "c1")
-    free = 0.0
-    for sweep in range(SWEEPS + 1):
-        used = float(sweep > 1) / last
-        C1, T1 = _sum(W, "c1", "t1")
-        free += used * (CORPUS_S + d1 * T1) / (CORPUS_S + C1)
-        p1 = (F.greatest(col("c1") - d1 * col("t1"), F.lit(0.0)) + (CORPUS_S + d1 * T1) * col("spelt")) / (CORPUS_S + C1)
-        W = W.withColumn("p1", p1).withColumn("ps", col("ps") + used * col("p1"))
-        V = V.join(B.groupBy("v").agg(F.sum("c2").alias("all2"), F.sum("t2").alias("sum2")), "v", "left").fillna(0.0, ["all2", "sum2"])
-        V = V.withColumn("all2", col("all2") + col("f")).withColumn("sum2", col("sum2") + col("f"))
-        V = V.withColumn("open", col("open") + used * (S + d2 * col("sum2")) / (S + col("all2"))).withColumn("inverse", col("inverse") + used / (S + col("all2")))
-        V = materialize(V, "followers")
-        B = B.join(V.select("v", "all2", "sum2"), "v").withColumn("own", col("own") + used * (col("c2") - d2 * col("t2")) / (S + col("all2")))
-        V = V.drop("all2", "sum2")
-        if sweep == SWEEPS:
-            B = B.select("v", "w", "own")
-            break
-        B = B.join(W.select("w", "p1"), "w").withColumn("a2", (S + d2 * col("sum2")) * col("p1"))
-        B = materialize(B.withColumn("p2", (col("c2") - d2 * col("t2") + col("a2")) / (S + col("all2"))).select("v", "w", "f", "a2", "p2", "own"), "pairs")
-        A = A.join(A.groupBy("c").agg(F.sum("t").alias("sum3")), "c").join(B.select("v", "w", "p2"), ["v", "w"])
-        A = A.withColumn("t", _seated(col("n"), (S + d3 * (col("sum3") + col("single"))) * col("p2"), ["c", "w"], d3, sweep))
-        A = materialize(A.select("c", "v", "w", "n", "single", "t", (col("ts") + F.lit(float(sweep > 0) / last) * col("t")).alias("ts")), "trigrams")
-        B = B.join(A.groupBy("v", "w").agg(F.sum("t").alias("t")), ["v", "w"], "left").withColumn("c2", col("f") + F.coalesce("t", F.lit(0.0)))
-        B = materialize(B.select("v", "w", "f", "own", "c2", _seated(col("c2"), col("a2"), ["v", "w"], d2, sweep).alias("t2")), "pairs")
-        W = W.join(B.groupBy("w").agg(F.sum("t2").alias("t2")), "w", "left").withColumn("c1", col("f") + F.coalesce("t2", F.lit(0.0)))
-        W = materialize(W.select("w", "spelt", "f", "ps", "c1", _seated(col("c1"), (CORPUS_S + d1 * T1) * col("spelt"), ["w", "w"], d1, sweep).alias("t1")), "unigrams")
-    # words outside the training texts are one event, as in the base: what the spelling leaves to them
-    unknown = max(1 - _sum(W, "spelt")[0], 1e-6) * free
-    p2 = bi.select("v", "w", "n").join(V, "v", "left").join(B, ["v", "w"], "left").join(W.select("w", "ps"), "w", "left")
-    own2 = F.when(col("n") == 1, (1 - d2) * col("inverse")).otherwise(F.coalesce("own", F.lit(0.0)))
-    p2 = p2.select("v", "w", (own2 + F.coalesce("open", F.lit(1.0)) * F.coalesce("ps", F.lit(unknown))).alias("p2"))
-    contexts = contexts.join(A.groupBy("c").agg(F.sum("ts").alias("sum3")), "c", "left").select("c", "total", (S + d3 * (col("single") + F.coalesce("sum3", F.lit(0.0)))).alias("open3"))
-    p3 = tri.join(contexts, "c", "left").join(A.select("c", "w", "ts"), ["c", "w"], "left").join(p2, ["v", "w"])
-    own3 = F.when(col("n") > 0, col("n") - d3 * F.coalesce("ts", F.lit(1.0))).otherwise(0.0)
-    return p3.select("c", "w", F.when(col("total").isNull(), col("p2")).otherwise((own3 + col("open3") * col("p2")) / (S + col("total"))).alias("p")), unknown
-
-
-def document_log10(parent: np.ndarray, word: np.ndarray, discount: float, strength: float) -> float:
-    """The document restaurant's predictions of its tokens in order; a word that returns sits at its table."""
-    n = len(word)
-    order = np.argsort(word, kind="stable")
-    w = word[order]
-    new = np.concatenate([[True], w[1:] != w[:-1]])
-    first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    before = np.empty(n)
-    before[order] = np.arange(n) - first
-    tables = np.cumsum(before == 0) - (before == 0)
-    p = (np.maximum(before - discount, 0) + (strength + discount * tables) * parent) / (strength + np.arange(n))
-    return float(np.log10(p).sum())
-
-
-def score_documents(documents: DataFrame, *, document_discount: float = 0.8, document_strength: float = 100.0, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def score_documents(documents: DataFrame, *, block: int = 1_000_000, part: int = 1_500_000, split: int = 1_000_000, frequent: int = FREQUENT, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, log10_perplexity) for each row.
 
     Trained on the rows whose crc32 of the id (as text; of nothing for a null) isn't 0 modulo 10. A null or empty text is its
-    end alone; a word that no training text has counts as an unknown word, whichever it is; repeated rows count as often as they occur. Without a training row the base is uniform and the model its spelling.
+    end alone; a word that no training text has counts as an unknown word, whichever it is; repeated rows count as often as they
+    occur. Without a training row the base is uniform and all mass is the unknown word's. Ids can be of any type. Texts are
+    held in blocks of ``block`` tokens and restaurants in parts of ``part``; a longer text is a block of its own.
     """
-    spark = documents.sparkSession
-    docs = int_id(documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))).withColumn("block", F.coalesce(F.floor(F.col("doc_id") / BLOCK).cast("bigint"), F.lit(0)))
-    spelt = docs.select("doc_id", "text").mapInArrow(_spell_counts, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow().sort_by("code")
-    spelling = spark.sparkContext.broadcast(Spelling(spelt.column("code").to_numpy(), spelt.column("n").to_numpy()))
-    blocks = materialize(docs.mapInArrow(_block_words(spelling), "block bigint, word bigint, n bigint, spelt float"), "blocks")
-    words = materialize(blocks.groupBy("word").agg(F.sum("n").alias("n"), F.max("spelt").alias("spelt")), "words")
-    known, total = words.filter("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    found = docs.select("block", "doc_id", "text").mapInArrow(_block_grams, "block bigint, c bigint, v bigint, w bigint, n bigint")
-    tri = materialize(found.groupBy("c", "v", "w").agg(F.sum("n").alias("n")), "counts")
-    model, _ = word_contexts(tri, words)
-    counts = blocks.select("block", "word").join(words.select("word", "n"), "word").select("block", F.lit(None).cast("bigint").alias("c"), "word", "n", F.lit(None).cast("double").alias("p"))
-    parts = found.select("block", "c", "w").join(model, ["c", "w"]).select("block", "c", F.col("w").alias("word"), F.lit(None).cast("bigint").alias("n"), "p")
-    slices = counts.unionByName(parts)
-    kind = documents.schema[id_column].dataType.simpleString()
-    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def score(texts: pa.Table, own: pa.Table) -> pa.Table:
-        alone = own.filter(pc.is_null(own.column("c")))
-        order = np.argsort(word := alone.column("word").to_numpy())
-        keys, n = word[order], alone.column("n").to_numpy()[order]
-        after = own.filter(pc.is_valid(own.column("c")))
-        gram = _mix(after.column("c").to_numpy(), after.column("word").to_numpy())
-        order = np.argsort(gram)
-        gram, p = gram[order], after.column("p").to_numpy()[order]
-        rows = []
-        base = np.log10((n + 0.1) / (total + 0.1 * (known + 1)))
-        for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True):
-            c, _, w = grams(text)
-            k = np.searchsorted(keys, w)
-            seen = n[k] > 0
-            value = document_log10(p[np.searchsorted(gram, _mix(c, w))], np.where(seen, k, -1), document_discount, document_strength)
-            rows.append((doc, held_out(doc), len(k), int(seen.sum()), total, float(base[k].sum()), value))
-        return pa.Table.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
-
-    scored = docs.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    return scored.withColumn("log10_perplexity", -F.col("score") / F.col("n_tokens")).withColumn("doc_id", F.col("doc_id").cast(kind))
+    spark, col = documents.sparkSession, F.col
+    held = F.crc32(F.coalesce(col(id_column).cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    docs = documents.select(col(id_column).alias("doc_id"), held.alias("held"), col(text).alias("text"))
+    words = materialize(docs.filter("not held").select("text").mapInArrow(_count_words, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    known, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    top = words.orderBy(F.desc("n"), "word").limit(frequent).toArrow()  # bounded by ``frequent``
+    often = Frequent(top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy(), total, known)
+    alone = spark.sparkContext.broadcast(often)
+    kind = documents.schema[id_column].dataType
+    ddl = f"block bigint, ids array<{kind.simpleString()}>, held array<boolean>, lengths array<bigint>, codes binary, rare binary"
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    blocks = materialize(docs.mapInArrow(_make_blocks(alone, block, to_arrow_type(kind)), ddl), "blocks")
+    size = blocks.agg(F.coalesce(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0))).first()[0]
+    parts = size // part + 1
+    tasks = min(max(parts, spark.sparkContext.defaultParallelism), 100_000)
+    shared = spark.sparkContext.broadcast((often, parts, split))
+    sent = blocks.mapInArrow(_send(shared), "part bigint, block bigint, data binary").repartition(tasks, "part")
+
+    layers = materialize(sent.groupBy("part").applyInArrow(_first_pass(shared), _LAYERS), "layers")
+    n1, n2, m1, m2 = ({r.word: r.x for r in layers.filter("kind = 2").groupBy("word").agg(F.sum("tables").alias("x")).collect()}.get(k, 0.0) for k in range(4))
+    shards = layers.filter("kind = 0").select("word", "data").groupBy("word").applyInArrow(_sum_shard, "word bigint, tables bigint").toArrow().sort_by("word")
+    rare = materialize(layers.filter("kind = 1").groupBy("word").agg(F.sum("tables").alias("tables")).join(words, "word"), "rare")
+    tables = shards.column("tables").to_numpy().astype(np.float64)
+    r0, r1, r2 = (float(x or 0) for x in rare.agg(F.sum("tables"), F.sum((col("tables") == 1).cast("long")), F.sum((col("tables") == 2).cast("long"))).first())
+    d1 = _discount((tables == 1).sum() + r1, (tables == 2).sum() + r2)
+    mass = STRENGTH + tables.sum() + r0
+    unknown = (STRENGTH + d1 * known) / mass if known else 1.0
+    corpus = spark.sparkContext.broadcast(((tables - d1) / mass, unknown, STRENGTH, (_discount(n1, n2), _discount(m1, m2))))
+    asked = layers.filter("kind = 1").select("part", "word").join(rare.select("word", "n", ((col("tables") - d1) / mass).alias("p")), "word").repartition(tasks, "part")
+    answers = materialize(sent.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_second_pass(shared, corpus), "block bigint, part bigint, p binary, n binary"), "answers")
+    discard(layers, rare, words)
+    out = pa.schema([("doc_id", to_arrow_type(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def score(own: pa.Table, answers: pa.Table) -> pa.Table:
+        row = own.to_pylist()[0]
+        texts = Texts(row, *shared.value)
+        answers = answers.sort_by("part")
+        p, n = np.empty(len(texts.n)), np.empty(len(texts.n))
+        p[texts.order] = np.concatenate([np.frombuffer(x, np.float32) for x in answers.column("p").to_pylist()])
+        n[texts.order] = np.concatenate([unpress(x, np.uint64) for x in answers.column("n").to_pylist()])
+        starts = np.cumsum(texts.lengths) - texts.lengths
+        add = lambda x: np.add.reduceat(x[texts.which], starts)
+        columns = [row["ids"], texts.held, texts.lengths, add((n > 0).astype(np.int64)), np.full(len(starts), total), add(np.log10((n + 0.1) / (total + 0.1 * (known + 1)))), add(np.log10(p))]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return scored.withColumn("log10_perplexity", -col("score") / col("n_tokens"))
+
+
+def _discount(one: float, two: float) -> float:
+    return float(min(max(one / (one + 2 * two or 1), 0.1), 0.95))
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

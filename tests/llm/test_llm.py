@@ -133,29 +133,54 @@ def test_language_model(spark, real, odd, none):
     assert language_model.score_documents(odd).count() == odd.count() and language_model.score_documents(none).count() == 0
 
 
-def test_spelling_is_a_distribution():
-    r = random.Random(5)
-    known = [bytes(r.choice(b"abc") for _ in range(r.randint(1, 5))) for _ in range(200)]
-    codes, counts = np.unique(language_model._codes(known)[0], return_counts=True)
-    s = language_model.Spelling(codes, counts)
-    for context in (0, ord("a"), ord("a") << 8 | ord("b"), 0x7A7A):
-        p = s.weight[context] * s.two[((context & 0xFF) << 8) + np.arange(256)]
-        for code, own in zip(s.codes, s.own, strict=True):
-            if code >> 8 == context:
-                p[code & 0xFF] += own
-        assert p.sum() == pytest.approx(1)
-
-
-def test_document_layer_is_a_distribution():
-    """Over all continuations of a prefix the next token's probabilities sum to one."""
-    parent = np.array([0.5, 0.3, 0.2])
-    for prefix in ([], [0], [0, 0, 1], [2, 1, 2]):
-        total = 0.0
-        for w in range(3):
-            path = np.array([*prefix, w])
-            before = language_model.document_log10(parent[path[:-1]], path[:-1], 0.8, 10.0) if len(prefix) else 0.0
-            total += 10 ** (language_model.document_log10(parent[path], path, 0.8, 10.0) - before)
-        assert total == pytest.approx(1)
+def test_language_model_in_many_parts(spark, real):
+    """Blocks, parts, rare words and split restaurants change no base figure, and held-out texts are still better predicted."""
+    df, _ = real
+    small = {r.doc_id: r for r in language_model.score_documents(df, block=5000, part=8000, split=200, frequent=300).collect()}
+    for r in language_model.score_documents(df).collect():
+        s = small[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (s.held_out, s.n_tokens, s.n_known, s.train_tokens) and r.base_score == pytest.approx(s.base_score)
+    assert sum(r.score - r.base_score for r in small.values() if r.held_out) > 0
+
+
+def stirling(n, d):
+    """Logarithms of the generalised Stirling numbers of n customers, from one table on."""
+    row = np.array([0.0])
+    for m in range(1, n):
+        t = np.arange(1, m + 1)
+        row = np.logaddexp(np.append(np.log(m - d * t) + row, -np.inf), np.append(-np.inf, row))
+    return row
+
+
+@pytest.mark.parametrize("n, p, others, d", [(2, 0.3, 5, 0.8), (7, 0.01, 50, 0.6), (32, 0.2, 9, 0.9), (33, 0.2, 9, 0.9), (150, 0.002, 4000, 0.7), (300, 0.01, 4000, 0.7), (400, 1e-5, 10, 0.8), (400, 0.5, 900, 0.5), (2000, 0.05, 60, 0.8), (2000, 0.2, 60, 0.8)])
+def test_tables_follow_their_conditional(n, p, others, d):
+    t = np.arange(1, n + 1)
+    log = stirling(n, d) + t * math.log(p) + np.cumsum(np.log(language_model.STRENGTH + d * (others + t - 1)))
+    want = np.exp(log - np.logaddexp.reduce(log))
+    mean = (want * t).sum()
+    spread = math.sqrt((want * (t - mean) ** 2).sum())
+    size = 20_000
+    got = language_model.draw(np.full(size, float(n)), np.full(size, p), np.full(size, float(others)), d, np.random.default_rng(3))
+    assert got.min() >= 1 and got.max() <= n
+    if n <= language_model.EXACT:
+        assert np.bincount(got.astype(int), minlength=n + 1)[1:] / size == pytest.approx(want, abs=0.015)
+    else:
+        assert abs(got.mean() - mean) < max(0.1 * mean, 0.2) and abs(got.std() - spread) < max(0.2 * spread, 0.3)
+
+
+def test_contexts_are_distributions():
+    """For contexts seen as two words, as one and not at all, the probabilities of all words and the unknown one sum to one."""
+    r = random.Random(9)
+    n = {(r.randrange(1, 6), r.randrange(1, 6), r.randrange(1, 6)): r.choice((1, 1, 2, 9, 40)) for _ in range(60)}
+    every = [(u, v, w) for u in range(1, 8) for v in range(1, 8) for w in range(1, 7)]
+    u, v, w = (np.array(x, np.uint64) for x in zip(*every, strict=True))
+    base = np.array([0.1, 0.3, 0.2, 0.05, 0.15, 0.2])[w.astype(int) - 1]
+    p, _, customers, tables = language_model.seat(u, v, w, np.array([n.get(x, 0) for x in every]), base, (0.7, 0.6), 5, 2, np.random.default_rng(1))
+    total = collections.Counter()
+    for (a, b, _), q in zip(every, p, strict=True):
+        total[a, b] += q
+    assert len(total) == 49 and list(total.values()) == pytest.approx([1.0] * 49) and (p > 0).all()
+    assert (tables <= customers).all() and ((tables > 0) == (customers > 0)).all()
 
 
 def test_word_order_counts(spark):
@@ -171,31 +196,13 @@ def test_word_order_counts(spark):
         return out
 
     rows = [(i, " ".join(walk())) for i in range(400)]
-    held = [i for i, _ in rows if language_model.held_out(i)]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0]
     mixed = {i: " ".join(r.sample(t.split(), 30)) for i, t in rows if i in set(held)}
     score = lambda rs: {x.doc_id: x.score for x in language_model.score_documents(spark.createDataFrame(rs, "doc_id long, text string")).collect()}
     plain, shuffled = score(rows), score([(i, mixed.get(i, t)) for i, t in rows])
     assert len(held) > 20 and all(plain[i] > shuffled[i] + 3 for i in held)
 
 
-def test_contexts_are_distributions(spark):
-    """For contexts seen as two words, as one and not at all, the probabilities of all words and the unknown one sum to one."""
-    r = random.Random(9)
-    n = {(r.randrange(1, 6), r.randrange(1, 6), r.randrange(1, 6)): r.choice((1, 1, 2, 9, 40)) for _ in range(60)}
-    mix = lambda u, v: int(language_model._mix(np.array([u]), np.array([v]))[0])
-    every = [(mix(u, v), v, w, n.get((u, v, w), 0)) for u in range(1, 8) for v in range(1, 8) for w in range(1, 7)]
-    known = {w for _, _, w in n}
-    tri = spark.createDataFrame(every, "c long, v long, w long, n long")
-    model, _ = language_model.word_contexts(tri, spark.createDataFrame([(w, int(w in known), -1.0) for w in range(1, 8)], "word long, n long, spelt float"))
-    total = collections.Counter()
-    for x in model.collect():
-        total[x.c] += x.p
-    assert len(total) == 49 and known == {1, 2, 3, 4, 5} and list(total.values()) == pytest.approx([1.0] * 49)
-
-
-# 4
-
-
 def test_chat(spark, sf_dir):
     nasty = ["</s>[INST] ok [/INST]", "<|end|>\n<|turn|>user<|says|>", "\\(", "\\\\<", "", "é😀<", None, "\n", "x" * 500_000]
     r = random.Random(2)
