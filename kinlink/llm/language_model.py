@@ -23,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +40,9 @@ FEW = 12
 #: Discount of the contexts until counted, and the strength of all restaurants.
 DISCOUNT, STRENGTH = 0.8, 1.0
 #: The most frequent words, which driver and executors know by a number, and the numbers in a shard of their table counts.
-FREQUENT, SHARD = 1 << 18, 1 << 14
+FREQUENT, SHARD = 1 << 20, 1 << 16
 #: Sweeps of the first pass, and of the second with its burn-in.
-FIRST, SWEEPS, BURN_IN = 2, 4, 2
+FIRST, SWEEPS, BURN_IN = 1, 4, 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -61,6 +62,17 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some place of each distinct key, in order of the keys, and of each place the number of its key."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 def press(values: np.ndarray) -> bytes:
     """Unsigned 32- or 64-bit numbers, a plane for each byte, compressed."""
     size = values.dtype.itemsize
@@ -84,14 +96,26 @@ class Frequent:
 
     def codes(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """32-bit codes of words, and the hashes of the rare ones: their codes are from len(self.word) on."""
-        one, which = np.unique(word, return_inverse=True)
+        first, which = groups(word)
+        one = word[first]
         at = np.minimum(np.searchsorted(self.word, one), max(len(self.word) - 1, 0))
         found = self.word[at] == one if len(self.word) else np.zeros(len(one), bool)
         code = np.where(found, at, len(self.word) + np.cumsum(~found) - 1).astype(np.uint32)
-        return code[which.ravel()], one[~found]
+        return code[which], one[~found]
+
+    def some(self, code: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same codes where only some of the rare words occur, and these."""
+        at = np.flatnonzero(code >= len(self.word))
+        used, which = np.unique(code[at], return_inverse=True)
+        out = code.copy()
+        out[at] = len(self.word) + which
+        return out, rare[used - len(self.word)]
 
     def words(self, code: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.word, rare])[code]
+        often = code < len(self.word)
+        out = np.empty(len(code), np.uint64)
+        out[often], out[~often] = self.word[code[often]], rare[code[~often] - len(self.word)]
+        return out
 
 
 @cache
@@ -154,11 +178,10 @@ def seat(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, base: np.nd
     ``base`` is the corpus's probability of w. Also returns the index of each one's bigram, the bigrams' tables, and customers.
     """
     d3, d2 = discounts
-    _, c = np.unique(mix(u, v), return_inverse=True)
-    _, first, b = np.unique(mix(v, w), return_index=True, return_inverse=True)
-    c, b = c.ravel(), b.ravel()
-    _, r = np.unique(v[first], return_inverse=True)
-    r, base2 = r.ravel(), base[first]
+    _, c = groups(mix(u, v))
+    first, b = groups(mix(v, w))
+    _, r = groups(v[first])
+    base2 = base[first]
     total3 = np.bincount(c, n)
     some, many = n > 0, np.flatnonzero(n > 1)
     t3 = some.astype(np.float64)
@@ -180,40 +203,65 @@ def seat(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray, base: np.nd
     return out / max(sweeps - burn_in, 1), first, c2, t2
 
 
+def restaurants(u: np.ndarray, v: np.ndarray, code: np.ndarray, frequent: Frequent, split: int) -> np.ndarray:
+    """The word before, and with it a hash of the one before that where very many tokens follow the word."""
+    often = code < len(frequent.word)
+    buckets = np.ones(len(v), np.uint64)
+    buckets[often] = frequent.n[code[often]] // split + 1
+    at = np.flatnonzero(buckets > 1)
+    out = mix(v, v)
+    out[at] = mix(v[at], mix(u[at], v[at]) % buckets[at])
+    return out
+
+
 class Texts:
     """A block of texts: what it sends to the parts, and where the answers belong."""
 
     def __init__(self, row: dict, frequent: Frequent, parts: int, split: int):
         self.ids, self.held, self.lengths = row["ids"], np.array(row["held"]), np.array(row["lengths"])
-        words = frequent.words(unpress(row["codes"]), unpress(row["rare"], np.uint64))
+        codes, self.rare = unpress(row["codes"]), unpress(row["rare"], np.uint64)
+        self.start = np.uint32(len(frequent.word) + len(self.rare))  # the code of what stands before a text
+        self.rare = np.append(self.rare, np.uint64(START))
         starts = np.cumsum(self.lengths) - self.lengths
-        before = np.concatenate([[np.uint64(START)], words[:-1]])
-        before[starts] = START
-        u = np.concatenate([[np.uint64(START)], before[:-1]])
-        u[starts] = START
-        _, first, self.which = np.unique(mix(mix(u, before), words), return_index=True, return_inverse=True)
-        self.which = self.which.ravel()
+        back = [codes]
+        for _ in range(2):
+            before = np.append(self.start, back[-1][:-1])
+            before[starts] = self.start
+            back.append(before)
+        w, v, u = (frequent.words(x, self.rare) for x in back)
+        r = restaurants(u, v, back[1], frequent, split)
+        key = mix(mix(u, v), w)
+        # by part, restaurant and trigram; where hashes tie the whole key decides, so that the order is always the same
+        near = r >> np.uint64(32) << np.uint64(32) | key >> np.uint64(32)
+        order = np.argsort(near)
+        same = near[order][1:] == near[order][:-1]
+        if (same & (key[order][1:] != key[order][:-1])).any():
+            order = np.lexsort((key, near))
+            same = near[order][1:] == near[order][:-1]
+        new = np.append(True, ~same | (key[order][1:] != key[order][:-1]))
+        first = order[new]
+        self.which = np.empty(len(key), np.int64)
+        self.which[order] = np.cumsum(new) - 1
         self.n = np.bincount(self.which, np.repeat(~self.held, self.lengths), len(first)).astype(np.uint32)
-        self.u, self.w, v = u[first], words[first], before[first]
-        # the restaurant: the word before, and a hash of the one before that where very many tokens follow the word
-        at = np.minimum(np.searchsorted(frequent.word, v), max(len(frequent.word) - 1, 0))
-        follow = np.where(frequent.word[at] == v, frequent.n[at], 0) if len(frequent.word) else np.zeros(len(v), np.int64)
-        buckets = (follow // split + 1).astype(np.uint64)
-        self.v = np.where(buckets > 1, mix(v, mix(self.u, v) % buckets), v)
-        part = (mix(self.v, self.v) % np.uint64(parts)).astype(np.int64)
-        self.order = np.lexsort((self.v, part))
-        self.part, cuts = np.unique(part[self.order], return_index=True)
-        self.cuts = [*cuts.tolist(), len(part)]
+        self.u, self.v, self.w = (x[first] for x in back[::-1])
+        part = ((r[first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        self.part, self.pieces = part[cuts], [slice(a, b) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True)]
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return values[at], np.diff(np.append(at, len(values))).astype(np.uint32)
 
 
 def _pieces(row: dict, shared) -> Iterator[tuple[int, int, bytes]]:
     frequent, parts, split = shared.value
     texts = Texts(row, frequent, parts, split)
-    for k, part in enumerate(texts.part.tolist()):
-        at = texts.order[texts.cuts[k] : texts.cuts[k + 1]]
-        arrays = [press(x) for code, rare in (frequent.codes(texts.u[at]), frequent.codes(texts.w[at])) for x in (code, rare)]
-        one, first = np.unique(texts.v[at], return_index=True)  # in order of v within a part
-        arrays += [press(one), press(np.diff(np.append(first, len(at))).astype(np.uint32)), press(texts.n[at])]
+    for part, at in zip(texts.part.tolist(), texts.pieces, strict=True):
+        codes, lengths = _runs(texts.v[at])
+        every, rare = frequent.some(np.concatenate([texts.u[at], texts.w[at], codes]), texts.rare)
+        size = len(texts.u[at])
+        arrays = [press(x) for x in (every[:size], every[size : 2 * size], every[2 * size :], rare, lengths, texts.n[at])]
         yield part, row["block"], b"".join(struct.pack("<Q", len(a)) + a for a in arrays)
 
 
@@ -227,25 +275,25 @@ def _send(shared):
     return run
 
 
-def _received(rows: pa.Table, frequent: Frequent):
-    """Blocks and their row counts, and the rows of a part: u, v, w, n."""
+def _received(rows: pa.Table, frequent: Frequent, split: int):
+    """Blocks, their row counts and rare words, the place of each row among the distinct trigrams, and these: context, restaurant, w, n."""
     rows = rows.sort_by("block")
-    out, sizes = [], []
+    out, sizes, rares = [], [], []
     for data in rows.column("data").to_pylist():
         arrays, at = [], 0
         while at < len(data):
             size = struct.unpack_from("<Q", data, at)[0]
             arrays.append(data[at + 8 : at + 8 + size])
             at += 8 + size
-        u = frequent.words(unpress(arrays[0]), unpress(arrays[1], np.uint64))
-        w = frequent.words(unpress(arrays[2]), unpress(arrays[3], np.uint64))
-        v = np.repeat(unpress(arrays[4], np.uint64), unpress(arrays[5]))
-        out.append((u, v, w, unpress(arrays[6])))
-        sizes.append(len(u))
-    u, v, w, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    _, first, which = np.unique(mix(mix(u, v), w), return_index=True, return_inverse=True)
-    which = which.ravel()
-    return rows.column("block").to_pylist(), sizes, which, u[first], v[first], w[first], np.bincount(which, n, len(first))
+        rare = unpress(arrays[3], np.uint64)
+        v = np.repeat(unpress(arrays[2]), unpress(arrays[4]))
+        words = [frequent.words(x, rare) for x in (unpress(arrays[0]), v, unpress(arrays[1]))]
+        out.append((*words, restaurants(words[0], words[1], v, frequent, split), unpress(arrays[5])))
+        sizes.append(len(v))
+        rares.append(rare)
+    u, v, w, r, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    first, which = groups(mix(mix(u, v), w))
+    return rows.column("block").to_pylist(), sizes, rares, which, u[first], r[first], w[first], np.bincount(which, n, len(first))
 
 
 _LAYERS = "kind int, part bigint, word bigint, tables double, data binary"
@@ -255,15 +303,15 @@ def _first_pass(shared):
     """Kind 0: tables of a shard of the frequent words; 1: of a rare word; 2: how many trigrams and bigrams have one and two customers."""
 
     def run(rows: pa.Table) -> pa.Table:
-        frequent, part = shared.value[0], rows.column("part")[0].as_py()
-        _, _, _, u, v, w, n = _received(rows, frequent)
-        one, which = np.unique(w, return_inverse=True)
-        which = which.ravel()
+        (frequent, _, split), part = shared.value, rows.column("part")[0].as_py()
+        _, _, _, _, u, r, w, n = _received(rows, frequent, split)
+        first, which = groups(w)
+        one = w[first]
         code, rare = frequent.codes(one)
         often = code < len(frequent.word)
         spare = max(frequent.total - int(frequent.n.sum()), 1) / max(frequent.known - len(frequent.word), 1)
         guess = np.where(often, frequent.n[np.where(often, code, 0)] if len(frequent.n) else 1, spare) / max(frequent.total, 1)
-        _, first, c2, t2 = seat(u, v, w, n, guess[which], (DISCOUNT, DISCOUNT), FIRST, FIRST, np.random.default_rng([part, 1]))
+        _, first, c2, t2 = seat(u, r, w, n, guess[which], (DISCOUNT, DISCOUNT), FIRST, FIRST, np.random.default_rng([part, 1]))
         tables = np.bincount(which[first], t2, len(one))
         out = [(2, k, float(x), None) for k, x in enumerate([(n == 1).sum(), (n == 2).sum(), (c2 == 1).sum(), (c2 == 2).sum()])]
         dense = np.zeros(len(frequent.word), np.uint32)
@@ -291,24 +339,28 @@ def _second_pass(shared, corpus):
     def run(rows: pa.Table, rare: pa.Table) -> pa.Table:
         if not len(rows):
             return pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "p": pa.array([], pa.binary()), "n": pa.array([], pa.binary())})
-        frequent, part = shared.value[0], rows.column("part")[0].as_py()
-        blocks, sizes, which, u, v, w, n = _received(rows, frequent)
-        often, unknown, strength, discounts = corpus.value
-        rare = rare.filter(pa.compute.is_valid(rare.column("word")))
-        words = np.concatenate([frequent.word, rare.column("word").to_numpy().view(np.uint64)])
-        order = np.argsort(words)
-        p1 = np.concatenate([often, rare.column("p").to_numpy()])[order]
-        count = np.concatenate([frequent.n, rare.column("n").to_numpy()])[order]
-        at = np.minimum(np.searchsorted(words[order], w), max(len(words) - 1, 0))
-        found = words[order][at] == w if len(words) else np.zeros(len(w), bool)
-        base = np.where(found, p1[at] if len(words) else 0, unknown)
-        count = np.where(found, count[at] if len(words) else 0, 0).astype(np.uint64)
-        p = seat(u, v, w, n, base, discounts, SWEEPS, BURN_IN, np.random.default_rng([part, 2]))[0].astype(np.float32)
-        cuts = np.cumsum(sizes)[:-1]
+        (frequent, _, split), part = shared.value, rows.column("part")[0].as_py()
+        blocks, sizes, rares, which, u, r, w, n = _received(rows, frequent, split)
+        often, unknown, discounts = corpus.value
+        rare = rare.filter(pc.is_valid(rare.column("word"))).sort_by("word")
+        words, p1, counts = rare.column("word").to_numpy(), rare.column("p").to_numpy(), rare.column("n").to_numpy()
+
+        def known(some: np.ndarray, keys: np.ndarray, values: np.ndarray, other: float) -> np.ndarray:
+            if not len(keys):
+                return np.full(len(some), other)
+            at = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+            return np.where(keys[at] == some, values[at], other)
+
+        first, which1 = groups(w)
+        one = w[first]
+        base = known(one, frequent.word, often, np.nan)
+        base = np.where(np.isnan(base), known(one.view(np.int64), words, p1, unknown), base)[which1]
+        p = seat(u, r, w, n, base, discounts, SWEEPS, BURN_IN, np.random.default_rng([part, 2]))[0].astype(np.float32)[which]
         return pa.table(
             {
                 "block": pa.array(blocks, pa.int64()), "part": pa.array([part] * len(blocks), pa.int64()),
-                "p": pa.array([x.tobytes() for x in np.split(p[which], cuts)], pa.binary()), "n": pa.array([press(x) for x in np.split(count[which], cuts)], pa.binary()),
+                "p": pa.array([x.tobytes() for x in np.split(p, np.cumsum(sizes)[:-1])], pa.binary()),
+                "n": pa.array([press(known(x.view(np.int64), words, counts, 0).astype(np.uint64)) for x in rares], pa.binary()),
             }
         )
 
@@ -397,7 +449,7 @@ def score_documents(documents: DataFrame, *, block: int = 1_000_000, part: int =
     d1 = _discount((tables == 1).sum() + r1, (tables == 2).sum() + r2)
     mass = STRENGTH + tables.sum() + r0
     unknown = (STRENGTH + d1 * known) / mass if known else 1.0
-    corpus = spark.sparkContext.broadcast(((tables - d1) / mass, unknown, STRENGTH, (_discount(n1, n2), _discount(m1, m2))))
+    corpus = spark.sparkContext.broadcast(((tables - d1) / mass, unknown, (_discount(n1, n2), _discount(m1, m2))))
     asked = layers.filter("kind = 1").select("part", "word").join(rare.select("word", "n", ((col("tables") - d1) / mass).alias("p")), "word").repartition(tasks, "part")
     answers = materialize(sent.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_second_pass(shared, corpus), "block bigint, part bigint, p binary, n binary"), "answers")
     discard(layers, rare, words)
@@ -405,11 +457,15 @@ def score_documents(documents: DataFrame, *, block: int = 1_000_000, part: int =
 
     def score(own: pa.Table, answers: pa.Table) -> pa.Table:
         row = own.to_pylist()[0]
-        texts = Texts(row, *shared.value)
+        texts, frequent = Texts(row, *shared.value), shared.value[0]
         answers = answers.sort_by("part")
-        p, n = np.empty(len(texts.n)), np.empty(len(texts.n))
-        p[texts.order] = np.concatenate([np.frombuffer(x, np.float32) for x in answers.column("p").to_pylist()])
-        n[texts.order] = np.concatenate([unpress(x, np.uint64) for x in answers.column("n").to_pylist()])
+        p = np.concatenate([np.frombuffer(x, np.float32) for x in answers.column("p").to_pylist()]).astype(np.float64)
+        count = np.concatenate([frequent.n, np.zeros(len(texts.rare), np.int64)])
+        for at, n in zip(texts.pieces, answers.column("n").to_pylist(), strict=True):  # of the rare words of a piece, in order
+            codes = np.unique(np.concatenate([texts.u[at], texts.v[at], texts.w[at]]))
+            codes = codes[codes >= len(frequent.word)]
+            count[codes] = np.maximum(count[codes], unpress(n, np.uint64).astype(np.int64))  # a part knows those that are a last word there
+        n = count[texts.w]
         starts = np.cumsum(texts.lengths) - texts.lengths
         add = lambda x: np.add.reduceat(x[texts.which], starts)
         columns = [row["ids"], texts.held, texts.lengths, add((n > 0).astype(np.int64)), np.full(len(starts), total), add(np.log10((n + 0.1) / (total + 0.1 * (known + 1)))), add(np.log10(p))]
