@@ -277,48 +277,74 @@ def test_phones_without_plus(text):
 # 6
 
 
-def test_quality(spark, sf_dir, odd, none):
+def test_quality(spark, odd, none):
+    """Half of the labels are hidden; the classifier is judged on these."""
+    sf_dir = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    got = {r.doc_id: r for r in quality.classify(clashing(docs), labels.withColumn("text", F.lit("mine"))).collect()}
-    marks = {r.doc_id: r.quality for r in labels.collect()}
+    rng = random.Random(3)
+    noise = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(4)) for _ in range(80)]
+    made = [(10**6, "QZXJ KVWQ " * 60, "en", "x", 600), (10**6 + 1, " ".join(noise), "de", "x", 400), (10**6 + 2, "the the the the " * 30, "en", "x", 480)]
+    seen = labels.filter("doc_id % 2 = 0").withColumn("text", F.lit("mine"))
+    got = {r.doc_id: r for r in quality.classify(clashing(docs.unionByName(spark.createDataFrame(made, SCHEMA).select(docs.columns))), seen).collect()}
+    marks = {r.doc_id: r.quality for r in labels.filter("doc_id % 2 = 1").collect()}
     good, bad = [got[i].keep for i, q in marks.items() if q == 1], [got[i].keep for i, q in marks.items() if q == 0]
-    assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.05 * len(bad)
+    assert len(good) > 150 and sum(good) >= 0.98 * len(good) and len(bad) > 20 and sum(bad) <= 0.05 * len(bad)
+    assert not any(got[10**6 + k].keep for k in range(3)) and {r.lang for r in got.values() if r.own_model} >= {"en"}
     rows = {(r.doc_id, r.text): r for r in quality.classify(odd, labels).collect()}
     assert len(rows) == odd.distinct().count() and not rows[1, None].keep and rows[1, None].perplexity is None
     assert quality.classify(none, labels).count() == 0
     assert all(r.keep == bool((r.text or "").split()) for r in quality.classify(odd, labels.limit(0)).collect())
 
 
+def test_quality_joins_by_chunk(spark, sf_dir, odd, monkeypatch):
+    """The joined way beyond the bound has the results of the broadcast."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    both = docs.unionByName(odd.select(docs.columns), allowMissingColumns=True)
+    plain, joined = (sorted(quality.classify(both, labels, broadcast_rows=n).select("doc_id", "text", "perplexity", "keep").collect(), key=str) for n in (10**7, 0))
+    assert [(r.doc_id, r.text, r.keep) for r in plain] == [(r.doc_id, r.text, r.keep) for r in joined]
+    assert [r.perplexity for r in plain if r.perplexity] == pytest.approx([r.perplexity for r in joined if r.perplexity])
+
+
 def test_kneser_ney_by_hand(spark):
-    """The table against a direct interpolated modified Kneser-Ney of the same text, and every row sums to one."""
-    text = "the cat sat on the mat. the cat sat. a a a bat. " * 2
-    model = quality.train(spark.createDataFrame([(text,), (None,), ("",)], "text string"))
-    p = np.exp(quality.log_table(model)).reshape(-1, quality.SYMBOLS)
-    seen = np.unique(quality.ngrams(text) >> np.uint32(quality.BITS))
-    assert p[seen].sum(axis=1) == pytest.approx(np.ones(len(seen)), abs=1e-4)
-    counts = {4: collections.Counter(quality.ngrams(text).tolist())}
-    for k in (3, 2, 1):
-        counts[k] = collections.Counter(g & (64**k - 1) for g in counts[k + 1])
-    d = {}
-    for k, c in counts.items():
-        n = collections.Counter(c.values())
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
-        d[k] = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) if n[i] and n[i + 1] else 0.5 for i in (1, 2, 3)]
-
-    def prob(g, k):
-        if k == 0:
-            return 1 / 64
-        g &= 64**k - 1
-        own = {w: c for w, c in counts[k].items() if w >> 6 == g >> 6}
-        if not own:
-            return prob(g, k - 1)
-        cut = lambda c: d[k][min(c, 3) - 1]
-        left = sum(map(cut, own.values())) / sum(own.values())
-        return (max(own.get(g, 0) - cut(own[g]), 0) / sum(own.values()) if g in own else 0) + left * prob(g, k - 1)
-
-    flat = p.ravel()
-    for g in random.Random(0).sample(range(64**4), 50) + quality.ngrams(text).tolist()[:60]:
-        assert flat[g] == pytest.approx(max(prob(g, 4), 1e-12), rel=1e-3)
+    """Shares against a direct interpolated modified Kneser-Ney of the same texts, by language and of all; probabilities sum to one."""
+    texts = [("the cat sat on the mat. the cat sat. a a a bat. " * 2, "en"), ("тот кот и 😀 and the bat", "ru"), (None, "en"), ("", None), ("le chat", None)]
+    df = spark.createDataFrame(texts, "text string, lang string").withColumn("own", F.coalesce(F.col("lang") == "en", F.lit(False)))
+    rows = quality.train(df).toArrow()
+    shares = quality.Shares(rows.column("key").to_numpy(), rows.column("value").to_numpy())
+    assert shares.has("en") and not shares.has("ru") and not shares.has("fr")
+
+    def fours(t):
+        s = "".join(map(chr, quality.symbols(t).tolist()))
+        plain = [k for k, c in enumerate(s) if c != "\x01"]
+        return ["".join(["\0\0\0", *(s[j] for j in plain if j < k)])[-3:] + c for k, c in enumerate(s)]
+
+    for lang, own in (("en", [t for t, x in texts if x == "en"]), (None, [t for t, _ in texts])):
+        counts = {4: collections.Counter(g for t in own for g in fours(t))}
+        for k in (3, 2, 1):
+            counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+        d = {}
+        for k, c in counts.items():
+            n = collections.Counter(c.values())
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] + n[2] else 0.5
+            d[k] = [min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) if n[i] and n[i + 1] else 0.5 for i in (1, 2, 3)]
+
+        def prob(g, counts=counts, d=d):
+            if not g:
+                return 1 / 0x110000
+            have = {w: c for w, c in counts[len(g)].items() if w[:-1] == g[:-1]}
+            if not have:
+                return prob(g[1:])
+            cut = lambda c: d[len(g)][min(c, 3) - 1]
+            total = sum(have.values())
+            return (have[g] - cut(have[g]) if g in have else 0) / total + sum(map(cut, have.values())) / total * prob(g[1:], counts, d)
+
+        chars = sorted({c for g in counts[4] for c in g})
+        for context in ("the", "\0\0\0", "qqq", " ca", "zt "):
+            every = [context + c for c in [*chars, "Z"]]
+            p = np.exp(shares.log(lang, np.array([[ord(c) for c in g] for g in every], np.uint32)))
+            if context not in ("qqq", "zt "):
+                assert p.tolist() == pytest.approx([prob(g, counts, d) for g in every])
+            assert p[:-1].sum() + (0x110000 - len(chars)) * p[-1] == pytest.approx(1)
 
 
 # 7
