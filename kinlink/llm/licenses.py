@@ -1,8 +1,8 @@
 """License scans: ordered signature rules over a text's normalised words.
 
-Each family of licenses is a few hand-written patterns; the forms in which a license is named (tag, notice,
-full name, version, address) make a rule of each. A rule is tried only where its keyword is among the
-text's words. Matches are taken by priority, and one that lies within a match already taken is dropped.
+Some rules are the texts, notices, addresses, identifiers and short names of ``license_rules``; others come from families of names,
+of which the forms (tag, notice, version, bare name) make a rule each. A rule is tried only where its keyword is among the text's
+words. Matches are taken by priority, and one that lies within a match already taken is dropped.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import alnum_words, table
+from .license_rules import hand_written
 
 #: label, keywords, pattern of the name, pattern of versions or ''. Every match of the name has one of the keywords. Patterns are over lower-case words with one blank between.
 FAMILIES = [
@@ -112,6 +113,10 @@ def rules() -> tuple[dict[bytes, list[int]], list[tuple[str, int, float, re.Patt
             for k in _joined(keywords, versions):
                 by.setdefault(k.encode(), []).append(len(made))
             made.append((label, priority, confidence, re.compile(rf"(?<![^ ]){body}(?![^ ])")))
+    for label, keywords, priority, confidence, body in hand_written():
+        for k in keywords.split():
+            by.setdefault(k.encode(), []).append(len(made))
+        made.append((label, priority, confidence, re.compile(rf"(?<![^ ]){body}(?![^ ])")))
     return by, made
 
 
@@ -125,7 +130,8 @@ def scan(words: list[bytes], *, gate: bool = True) -> list[tuple[int, int, str,
     found = []
     for r in sorted({i for k in present for i in by[k]}):
         label, priority, confidence, pattern = made[r]
-        found += [(-priority, m.start() - m.end(), m.start(), m.end(), label, confidence) for m in pattern.finditer(line)]
+        part = min(pattern.groups, 1)
+        found += [(-priority, m.start(part) - m.end(part), m.start(part), m.end(part), label, confidence) for m in pattern.finditer(line)]
     if not found:
         return []
     blanks = [m.start() for m in re.finditer(" ", line)]
@@ -152,7 +158,9 @@ def base(words: list[bytes]) -> list[tuple[int, str]]:
     if b"license" not in words:
         return []
     line = b" ".join(words)
-    return [(line.count(b" ", 0, m.start()), label) for pattern, label in _BASE for m in pattern.finditer(line)]
+    found = [(m.start(), label) for pattern, label in _BASE for m in pattern.finditer(line)]
+    blanks = [m.start() for m in re.finditer(b" ", line)] if found else []
+    return [(bisect_left(blanks, at), label) for at, label in found]
 
 
 def scan_licenses(documents: DataFrame, *, text: str = "text") -> DataFrame:
