@@ -255,8 +255,11 @@ def sample(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
     group = lambda s, sep: sep.join(s[i : i + 4] for i in range(0, len(s), 4))
 
     def iban() -> str:
-        head, body = r.choice(("DE", "FR", "ES", "NL", "GB")), _digits(r, r.choice((14, 16, 18, 20)))
-        check = 98 - int("".join(str(int(c, 36)) for c in body + head + "00")) % 97
+        head, body = r.choice(("DE", "FR", "ES", "NL", "GB", "IT")), _digits(r, r.choice((14, 16, 18, 20)))
+        if r.random() < 0.4:  # a bank code of letters, or a letter within the number
+            at = r.choice((0, 0, r.randint(8, len(body) - 2)))
+            body = body[:at] + "".join(r.choice("ABCDKLMNORTW") for _ in range(1 if at else r.choice((1, 4)))) + body[at:]
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{head}00")) % 97
         return f"{head}{check:02d}{body}"
 
     text, spans = "", []
@@ -270,14 +273,19 @@ def sample(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
             s = ".".join(octet() for _ in range(4))
         elif kind == "card":
             s = group(_with_luhn(_digits(r, 15)), r.choice(("", " ", "-")))
+            if r.random() < 0.3:  # of 15 digits in groups of 4, 6 and 5
+                s, sep = _with_luhn(r.choice(("34", "37")) + _digits(r, 12)), r.choice(("", " ", "-"))
+                s = sep.join((s[:4], s[4:10], s[10:]))
         elif kind == "phone":
             s = r.choice((f"+{r.randint(1, 99)} ({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"+{r.randint(1, 99)} {_digits(r, 3)} {_digits(r, 7)}", f"({_digits(r, 3)}) {_digits(r, 3)}-{_digits(r, 4)}", f"{_digits(r, 3)}-{_digits(r, 3)}-{_digits(r, 4)}"))
+            if r.random() < 0.3:  # as written at home
+                s = r.choice((" ".join(["0" + r.choice("123456789"), *(_digits(r, 2) for _ in range(4))]), f"0{_digits(r, 4)} {_digits(r, 6)}", f"0{_digits(r, 3)} {_digits(r, 7)}", f"{_digits(r, 3)}.{_digits(r, 3)}.{_digits(r, 4)}"))
         elif kind == "ssn":
             s = f"{_digits(r, 3)}-{_digits(r, 2)}-{_digits(r, 4)}"
         elif kind == "iban":
             s = group(iban(), r.choice(("", " ")))
         else:
-            s = r.choice((str(r.randint(1, 2030)), f"{r.randint(0, 9)}.{r.randint(0, 9)}", f"{r.randint(1, 12)}.{r.randint(0, 30)}.{r.randint(0, 9)}", f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(0, 23)}:{r.randint(0, 59):02d}", f"{r.randint(1, 999)},{_digits(r, 3)}", _digits(r, r.randint(5, 14)), f"978-{_digits(r, 1)}-{_digits(r, 4)}-{_digits(r, 4)}-{_digits(r, 1)}", f"{300 + r.randint(0, 600)}.{octet()}.{octet()}.{octet()}", f"@{word()}", f"{word()}{_digits(r, 2)}", "".join(r.choice("0123456789abcdef") for _ in range(r.choice((16, 32, 40)))), "".join(r.choice("0123456789ABCDEF") for _ in range(40)), f'token = "{r.getrandbits(160):040x}"', f"{r.getrandbits(160):040x}".upper(), f"{_digits(r, 2)}/{_digits(r, 2)}/{_digits(r, 4)}"))
+            s = r.choice((str(r.randint(1, 2030)), f"{r.randint(0, 9)}.{r.randint(0, 9)}", f"{r.randint(1, 12)}.{r.randint(0, 30)}.{r.randint(0, 9)}", f"{r.randint(1900, 2030)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(0, 23)}:{r.randint(0, 59):02d}", f"{r.randint(1, 999)},{_digits(r, 3)}", _digits(r, r.randint(5, 14)), f"978-{_digits(r, 1)}-{_digits(r, 4)}-{_digits(r, 4)}-{_digits(r, 1)}", f"{300 + r.randint(0, 600)}.{octet()}.{octet()}.{octet()}", f"@{word()}", f"{word()}{_digits(r, 2)}", "".join(r.choice("0123456789abcdef") for _ in range(r.choice((16, 32, 40)))), "".join(r.choice("0123456789ABCDEF") for _ in range(40)), f'token = "{r.getrandbits(160):040x}"', f"{r.getrandbits(160):040x}".upper(), f"{_digits(r, 2)}/{_digits(r, 2)}/{_digits(r, 4)}", " ".join(_digits(r, r.randint(1, 3)) for _ in range(r.randint(2, 4))), f"{_digits(r, 3)},{_digits(r, 3)}.{_digits(r, 2)}"))
         text += cue + r.choice((" ", ": ", " "))
         if kind != "no":
             spans.append((kind, len(text), len(text) + len(s)))
@@ -286,7 +294,7 @@ def sample(r: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
 
 
 @cache
-def trained(sentences: int = 420, seed: int = 7) -> Field:
+def trained(sentences: int = 560, seed: int = 7) -> Field:
     """The field, made from ``sentences`` generated ones: the same in every process."""
     r = random.Random(seed)
     field = Field()
