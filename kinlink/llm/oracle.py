@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP4_SQL
-from .secrets import BASE32, BASE64, HEX_LOWER, HEX_UPPER, TEXT_CHANGES
+from .secrets import ENCODINGS, NUMBER_EQUAL, STEPS, TEXT_CHANGES, TEXT_EQUAL
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -69,7 +69,8 @@ def _tail(z: str) -> str:
 
 
 _SQUEEZE = "regexp_replace(regexp_replace({0}, '1+', '1', 'g'), '0+', '0', 'g')"
-_LETTERS = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '0', 'g'), 'A+', 'A', 'g'), 'a+', 'a', 'g'), '0+', '0', 'g')"
+_CLASSES = "replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[+/]', '', 'g'), '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '0', 'g'), 'Aa', 'a')"
+_LETTERS = f"regexp_replace(regexp_replace(regexp_replace({_CLASSES}, 'A+', 'A', 'g'), 'a+', 'a', 'g'), '0+', '0', 'g')"
 
 OP1_SQL = rf"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents
@@ -77,38 +78,41 @@ WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents
     {_spans("assign", 0, _ASSIGN, f"length(regexp_extract(m, '{_VALUE}', 1)) >= 6")}
     UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]{16,}")}
     UNION ALL {_spans("hex", 2, "[0-9a-f]{24,}")}
-), c0 AS ({_spans("random", 3, "[A-Za-z0-9+/_-]{20,}={0,2}", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')")}
+), c0 AS ({_spans("random", 3, "[A-Za-z0-9+/_-]{20,}={0,2}")}
 ), c1 AS (SELECT *, regexp_replace(rtrim(m, '='), '[-_]', '/', 'g') AS s FROM c0
 ), c2 AS (
-    SELECT *, CAST(length(s) AS DOUBLE) AS n, CASE WHEN regexp_matches(s, '^[0-9a-f]+$') THEN '{HEX_LOWER}' WHEN regexp_matches(s, '^[0-9A-F]+$') THEN '{HEX_UPPER}'
-        WHEN regexp_matches(s, '^[A-Z2-7]+$') THEN '{BASE32}' ELSE '{BASE64}' END AS alphabet FROM c1
+    SELECT *, CAST(length(s) AS DOUBLE) AS n, CASE {" ".join(f"WHEN regexp_matches(s, '{p}') THEN '{a}'" for _, p, a in ENCODINGS[:-1])} ELSE '{ENCODINGS[-1][2]}' END AS alphabet FROM c1
 ), c3 AS (
     SELECT *, CAST(length(alphabet) AS DOUBLE) AS size, list_transform(string_split(s, ''), lambda x: CAST(instr(alphabet, x) AS DOUBLE)) AS xs,
         list_sum(list_transform(list_distinct(string_split(s, '')), lambda x: pow(n - length(replace(s, x, '')), 2.0))) AS squares FROM c2
 ), c4 AS (
     SELECT *, size / n * squares - n AS chi, size - 1 AS k, array_to_string(list_transform(xs, lambda x: CASE WHEN x > size / 2 THEN '1' ELSE '0' END), '') AS bits,
-        list_transform(xs, lambda x: x - list_sum(xs) / n) AS moved, CAST(length({_LETTERS}) AS DOUBLE) - 1 AS changes FROM c3
+        list_transform(xs, lambda x: x - list_sum(xs) / n) AS moved, greatest(CAST(length({_LETTERS}) AS DOUBLE) - 1, 0) AS changes,
+        greatest(CAST(length(regexp_replace(s, '[+/]', '', 'g')) AS DOUBLE) - 1, 1) AS places, length(alphabet) = 10 AS number, n * (n - 1) / 2 AS pairs FROM c3
 ), c5 AS (
     SELECT *, CAST(length(replace(bits, '0', '')) AS DOUBLE) AS ones, CAST(length({_SQUEEZE.format("bits")}) AS DOUBLE) AS runs,
         list_sum(list_transform(moved, lambda x: x * x)) AS variance,
         list_sum(list_transform(range(1, CAST(n AS BIGINT)), lambda i: moved[i] * moved[i + 1])) AS lag,
-        greatest(least(changes / (n - 1), 1 - 1e-9), 1e-9) AS rate FROM c4
+        greatest(least(changes / places, 1 - 1e-9), 1e-9) AS rate,
+        CASE WHEN number THEN {NUMBER_EQUAL[0]} ELSE {TEXT_EQUAL[0]} END AS two, CASE WHEN number THEN {NUMBER_EQUAL[1]} ELSE {TEXT_EQUAL[1]} END AS three FROM c4
 ), c6 AS (
     SELECT *, 2 * ones * (n - ones) / n + 1 AS mean FROM c5
 ), c7 AS (
     SELECT *, (mean - 1) * (mean - 2) / (n - 1) AS spread,
         {_tail("((pow(greatest(chi / k, 1e-9), 1.0 / 3) - (1 - 2 / (9 * k))) / sqrt(2 / (9 * k)))")} AS p_chi,
         CASE WHEN variance > 0 THEN 2 * {_tail("abs(lag / variance * sqrt(n) + 1 / sqrt(n))")} ELSE 0.0 END AS p_serial,
-        CASE WHEN rate > {TEXT_CHANGES} THEN exp(-(n - 1) * (rate * ln(rate / {TEXT_CHANGES}) + (1 - rate) * ln((1 - rate) / (1 - {TEXT_CHANGES})))) ELSE 1.0 END AS p_text FROM c6
+        {_tail("((pairs * two - (squares - n) / 2) / sqrt(pairs * two * (1 - two) + n * (n - 1) * (n - 2) * three))")} AS p_equal,
+        CASE WHEN rate > {TEXT_CHANGES} THEN exp(-places * (rate * ln(rate / {TEXT_CHANGES}) + (1 - rate) * ln((1 - rate) / (1 - {TEXT_CHANGES})))) ELSE 1.0 END AS bound FROM c6
 ), c8 AS (
     SELECT *, least(1.0, 3 * least(p_chi, p_serial, CASE WHEN spread > 0 THEN 2 * {_tail("abs(runs - mean) / sqrt(spread)")} ELSE 0.0 END)) AS p_random,
-        p_text * sum(n) OVER (PARTITION BY doc_id) / (count(*) OVER (PARTITION BY doc_id) * n) AS q, count(*) OVER (PARTITION BY doc_id) AS tests FROM c7
-), c9 AS (
-    SELECT *, max(CASE WHEN q <= 1e-4 * place_of / tests THEN q END) OVER (PARTITION BY doc_id) AS cut
-    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY q) AS place_of FROM c8)
+        greatest(p_equal * bound, 1e-300) AS evidence FROM c7
+), c9 AS (SELECT *, CAST(floor(-{STEPS} * log10(greatest(evidence * (1 - ln(evidence)) / n, 1e-300))) AS INTEGER) AS step FROM c8
+), steps AS (
+    SELECT step, sum(tests) OVER (ORDER BY step DESC) AS found, sum(tests) OVER () AS tests, sum(n) OVER () AS n FROM (SELECT step, count(*) AS tests, sum(n) AS n FROM c9 GROUP BY step)
+), cut AS (SELECT min(step) AS cut FROM steps WHERE n / tests * pow(10, -step / {STEPS}.0) <= 0.01 * found / tests
 ), every_span AS (
     SELECT doc_id, "start", place, "end", kind FROM fixed
-    UNION ALL SELECT doc_id, "start", place, "end", kind FROM c9 WHERE p_random >= 1e-3 AND q <= cut
+    UNION ALL SELECT doc_id, "start", place, "end", kind FROM c9 WHERE p_random >= 1e-3 AND step >= (SELECT cut FROM cut)
         AND NOT EXISTS (SELECT 1 FROM fixed f WHERE f.doc_id = c9.doc_id AND f."start" < c9."end" AND c9."start" < f."end")
 ), lists AS (
     SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,

@@ -87,6 +87,23 @@ def test_secrets(spark, real, odd, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_random_runs_by_encoding(spark):
+    """Recall of keys of each encoding, and what is found among paths, identifiers, addresses, long words and numbers."""
+    r = random.Random(21)
+    made = [("base64", secrets.BASE64, 20), ("base64", secrets.BASE64, 40), ("base62", secrets.BASE64[:62], 32), ("letters", secrets.BASE64[:52], 40), ("digits", secrets.DIGITS, 23), ("base32", secrets.BASE32, 32), ("lower36", secrets.DIGITS + secrets.BASE64[26:52], 32), ("HEX", secrets.HEX_UPPER, 32)]
+    keys = [(k, "".join(r.choice(alphabet) for _ in range(n))) for k, (_, alphabet, n) in enumerate(made) for _ in range(60)]
+    words = ["time", "account", "service", "handler", "message", "buffer", "request", "manager", "value", "index", "table", "report", "user", "session", "default", "window"]
+    some = lambda n: [r.choice(words) for _ in range(n)]
+    plain = [["_".join(some(5)), "/".join(some(6)), "".join(w.title() for w in some(4)), "https/www/" + "/".join(some(3)) + "/2024/11", "-".join(some(4)) + f"-v{r.randint(1, 9)}", "erberbeeinheitkeiter" + r.choice(words), "1000000000000" + "0" * 9, "20240101000000000000" + str(r.randint(1, 9))][k % 8] for k in range(1600)]
+    rows = [(i, f"see {s} here") for i, (_, s) in enumerate(keys)] + [(10_000 + i, f"see {s} here") for i, s in enumerate(plain)]
+    got = {x.doc_id: x.secrets for x in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (name, _, n) in enumerate(made):
+        mine = [got[i] for i, (j, _) in enumerate(keys) if j == k]
+        assert sum([(s.start, s.end) for s in x] == [(4, 4 + n)] for x in mine) >= 0.9 * len(mine), name
+        assert {s.encoding for x in mine for s in x} >= {name}
+    assert sum(bool(got[10_000 + i]) for i in range(len(plain))) <= 0.01 * len(keys)
+
+
 # 2
 
 
