@@ -102,7 +102,7 @@ WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents
         {_tail("((pow(greatest(chi / k, 1e-9), 1.0 / 3) - (1 - 2 / (9 * k))) / sqrt(2 / (9 * k)))")} AS p_chi,
         CASE WHEN variance > 0 THEN 2 * {_tail("abs(lag / variance * sqrt(n) + 1 / sqrt(n))")} ELSE 0.0 END AS p_serial,
         {_tail("((pairs * two - (squares - n) / 2) / sqrt(pairs * two * (1 - two) + n * (n - 1) * (n - 2) * three))")} AS p_equal,
-        CASE WHEN rate > {TEXT_CHANGES} THEN exp(-places * (rate * ln(rate / {TEXT_CHANGES}) + (1 - rate) * ln((1 - rate) / (1 - {TEXT_CHANGES})))) ELSE 1.0 END AS bound FROM c6
+        CASE WHEN rate > {TEXT_CHANGES} THEN exp(-places * (rate * ln(rate / {TEXT_CHANGES}) + (1 - rate) * ln((1 - rate) / (1 - {TEXT_CHANGES})))) * least(1.0, rate * (1 - {TEXT_CHANGES}) / ((rate - {TEXT_CHANGES}) * sqrt(2 * 3.141592653589793 * places * rate * (1 - rate)))) ELSE 1.0 END AS bound FROM c6
 ), c8 AS (
     SELECT *, least(1.0, 3 * least(p_chi, p_serial, CASE WHEN spread > 0 THEN 2 * {_tail("abs(runs - mean) / sqrt(spread)")} ELSE 0.0 END)) AS p_random,
         greatest(p_equal * bound, 1e-300) AS evidence FROM c7

@@ -4,7 +4,7 @@ A candidate is a run of 20 or more letters, digits and marks of base64. Its enco
 symbols. Against the uniform distribution over that alphabet stand a chi-squared test of the symbol counts, a runs test of the upper
 and lower halves, and a lag-one serial correlation, joined by Bonferroni; a candidate that one of them rejects isn't random. That it
 is text or an everyday number is tested by the same statistics: as few equal symbols as chi-squared saw come from text with the
-chance of a normal tail, as many runs of upper case, lower case and digits with that of a binomial tail (Chernoff); Fisher's rule
+chance of a normal tail, as many runs of upper case, lower case and digits with that of a binomial tail (a sharpened Chernoff bound); Fisher's rule
 joins the two. The Benjamini-Hochberg rule over the candidates of the whole table, weighted by length, holds the rate of false
 discoveries; it ranks by classes of a twentieth of a decade, so one small histogram is all that is gathered. Letters of one case
 have their counts alone to speak for them and need some length.
@@ -135,7 +135,7 @@ def battery(value: Column) -> Column:
         ones = F.length(F.replace(v["bits"], F.lit("0"), F.lit(""))).cast("double")
         p_runs = _let(F.struct((2 * ones * (n - ones) / n + 1).alias("mean"), _squeezed(v["bits"], "10").alias("runs")), lambda r: _let((r["mean"] - 1) * (r["mean"] - 2) / (n - 1), lambda spread: F.when(spread > 0, 2 * _normal_tail(F.abs(r["runs"] - r["mean"]) / F.sqrt(spread))).otherwise(0.0)))
         p_serial = F.when(v["variance"] > 0, 2 * _normal_tail(F.abs(v["lag"] / v["variance"] * F.sqrt(n) + 1 / F.sqrt(n)))).otherwise(0.0)
-        bound = F.when(rate > TEXT_CHANGES, F.exp(-v["places"] * (rate * F.log(rate / TEXT_CHANGES) + (1 - rate) * F.log((1 - rate) / (1 - TEXT_CHANGES))))).otherwise(1.0)
+        bound = F.when(rate > TEXT_CHANGES, F.exp(-v["places"] * (rate * F.log(rate / TEXT_CHANGES) + (1 - rate) * F.log((1 - rate) / (1 - TEXT_CHANGES)))) * F.least(F.lit(1.0), rate * (1 - TEXT_CHANGES) / ((rate - TEXT_CHANGES) * F.sqrt(2 * 3.141592653589793 * v["places"] * rate * (1 - rate))))).otherwise(1.0)
         number = v["encoding"] == "digits"
         two, three = (F.when(number, x).otherwise(y) for x, y in zip(NUMBER_EQUAL, TEXT_EQUAL, strict=True))
         pairs = n * (n - 1) / 2
