@@ -19,7 +19,7 @@ from .common import alnum_words, table
 #: Words in the original, before A-Z is lowered.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 MISS = "\0"
-#: Symbols a word can have: code points but 0 and the surrogates.
+#: Symbols there are: code points but 0 and the surrogates. Beyond so many words, a word has two, each from one half of them.
 SYMBOLS = 0x110000 - 0x801
 
 
@@ -30,23 +30,22 @@ def _symbol(i: int) -> str:
 class Windows:
     """The automaton of one block of items, made in each Python worker from the items' texts."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
+    def __init__(self, items: list[tuple[str, str]], width: int, *, symbols: int = SYMBOLS):
         import ahocorasick
 
-        self.vocabulary: dict[bytes, str] = {}
+        number: dict[bytes, int] = {}
+        for _, text in items:
+            for w in alnum_words(text):
+                number.setdefault(w, len(number))
+        self.size, half = 1 + (len(number) > symbols), symbols // 2
+        self.vocabulary = {w: _symbol(i) if self.size == 1 else _symbol(i // half) + _symbol(half + i % half) for w, i in number.items()}
         self.owners: dict[str, list[str]] = {}
         for item, text in items:
-            words = alnum_words(text)
-            for w in words:
-                if w not in self.vocabulary:
-                    self.vocabulary[w] = _symbol(len(self.vocabulary))
-            line = "".join(map(self.vocabulary.__getitem__, words))
-            for i in range(max(1, len(line) - width + 1) if line else 0):
-                own = self.owners.setdefault(line[i : i + width], [])
+            line, step = "".join(map(self.vocabulary.__getitem__, alnum_words(text))), self.size
+            for i in range(0, max(1, len(line) - width * step + 1) if line else 0, step):
+                own = self.owners.setdefault(line[i : i + width * step], [])
                 if not own or own[-1] != item:
                     own.append(item)
-        if len(self.vocabulary) > SYMBOLS:
-            raise ValueError("more distinct benchmark words than symbols: lower block_chars")
         self.automaton = ahocorasick.Automaton()
         for window in self.owners:
             self.automaton.add_word(window, window)
@@ -55,13 +54,13 @@ class Windows:
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Word ranges hit (end exclusive, in order of their ends) and the items with an occurring window."""
-        ranges, items = [], set()
+        ranges, found = [], set()
         if self.owners and words:
-            get = self.vocabulary.get
-            for end, window in self.automaton.iter("".join([get(w, MISS) for w in words])):
-                ranges.append((end + 1 - len(window), end + 1))
-                items.update(self.owners[window])
-        return ranges, items
+            get, size = self.vocabulary.get, self.size
+            for end, window in self.automaton.iter("".join([get(w, MISS * size) for w in words])):
+                ranges.append(((end + 1 - len(window)) // size, (end + 1) // size))
+                found.add(window)
+        return ranges, {item for window in found for item in self.owners[window]}
 
 
 def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -130,38 +130,56 @@ class Fingerprint:
         return (a + b - d) / (a + b + d)
 
 
-def neighbours(documents: DataFrame, *, rows_each: int = 2000, most: int = 20_000) -> DataFrame:
-    """(bucket, ghost, doc_id, text): documents dealt into runs of ids, and into each run a copy of the row that follows it.
+#: Parts that the rows of one id can have, as a power of two.
+PARTS = 20
 
-    Order is descending doc_id, then text; after the last comes the first. Borders are approximate quantiles, at most
-    ``most``, and so are the tops of the runs that the driver sees. Rows without an id have no place and are left out.
+
+def neighbours(documents: DataFrame, *, rows_each: int = 250, most: int = 20_000) -> tuple[DataFrame, int]:
+    """(bucket, ghost, doc_id, k, h, text): documents dealt into runs, and into each run a copy of the row that follows it; and how many.
+
+    Order is descending doc_id, rows without an id last, rows with equal ids by a hash of their text, then the text; after the last
+    comes the first. Borders are approximate quantiles of the ids, and around every id that has more than two runs' rows, which
+    are dealt by their hash; so the driver sees at most about twice ``most`` borders and tops of runs.
     """
-    docs = documents.filter("doc_id is not null")
+    docs = documents.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64("text").alias("h"), "text")
     n = docs.count()
     runs = max(1, min(most, n // rows_each))
+    each = max(1, n // runs)
     cut = [i / runs for i in range(1, runs)]
-    borders = sorted(set(docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, cut)), F.lit(max(10_000, 50 * runs)))).first()[0])) if cut and n else []
-    edges = np.array(borders, np.int64)
+    quantiles = docs.agg(F.percentile_approx("k", F.array(*map(F.lit, cut)), F.lit(max(10_000, 50 * runs)))).first()[0] if cut else []
+    heavy = {r.k: int(r["count"] // each) + 1 for r in docs.groupBy("k").count().filter(F.col("count") > 2 * each).collect()}
+    edges = np.array(sorted({*quantiles, *heavy, *(k - 1 for k in heavy if k > -(2**63))}), np.int64)
+    own = np.array(sorted(heavy), np.int64)
+    parts = np.array([min(heavy[k], 1 << PARTS) for k in own.tolist()], np.int64)
+
+    def run_of(k: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """The number of a row's run; a row with a higher number comes first."""
+        bucket = np.searchsorted(edges, k).astype(np.int64) << PARTS
+        if len(own):
+            at = np.minimum(np.searchsorted(own, k), len(own) - 1)
+            share = ((h >> 32) + (1 << 31)) * parts[at] >> 32
+            bucket += np.where(own[at] == k, parts[at] - 1 - share, 0)
+        return bucket
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, b.column("doc_id").to_numpy())), b.column("doc_id")], ["bucket", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(run_of(b.column("k").to_numpy(), b.column("h").to_numpy())), b.column("k"), b.column("h")], ["bucket", "k", "h"])
 
-    tops = dict(docs.select("doc_id").mapInArrow(numbered, "bucket bigint, doc_id bigint").groupBy("bucket").agg(F.max("doc_id")).collect())
+    firsts = docs.select("k", "h").mapInArrow(numbered, "bucket bigint, k bigint, h bigint").groupBy("bucket").agg(F.max(F.struct("k", F.bitwise_not("h").alias("h"))).alias("top")).collect()
+    tops = {r.bucket: (r.top.k, ~r.top.h) for r in firsts}
     held = sorted(tops)
     above = {tops[b]: held[(i + 1) % len(held)] for i, b in enumerate(held)}  # whose run this row follows
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id").to_numpy()
-            bucket = np.searchsorted(edges, ids)
-            copied = [i for i, d in enumerate(ids.tolist()) if d in above]
-            take = pa.array(np.concatenate([np.arange(len(ids)), np.array(copied, np.int64)]))
-            to = np.concatenate([bucket, np.array([above[ids[i]] for i in copied], np.int64)])
-            ghost = np.concatenate([np.zeros(len(ids), bool), np.ones(len(copied), bool)])
-            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(ghost), b.column("doc_id").take(take), b.column("text").take(take)], ["bucket", "ghost", "doc_id", "text"])
+            k, h = b.column("k").to_numpy(), b.column("h").to_numpy()
+            copied = [(i, above[x]) for i, x in enumerate(zip(k.tolist(), h.tolist(), strict=True)) if x in above]
+            take = pa.array(np.concatenate([np.arange(len(k)), np.array([i for i, _ in copied], np.int64)]))
+            to = np.concatenate([run_of(k, h), np.array([x for _, x in copied], np.int64)])
+            ghost = np.concatenate([np.zeros(len(k), bool), np.ones(len(copied), bool)])
+            yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(ghost), *(b.column(c).take(take) for c in ("doc_id", "k", "h", "text"))], ["bucket", "ghost", "doc_id", "k", "h", "text"])
 
-    return docs.select("doc_id", "text").mapInArrow(deal, "bucket bigint, ghost boolean, doc_id bigint, text string")
+    return docs.mapInArrow(deal, "bucket bigint, ghost boolean, doc_id bigint, k bigint, h bigint, text string"), len(held)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +202,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def fingerprint_documents(documents: DataFrame, *, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row that has an id.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row.
 
-    A null text is empty. Rows with equal ids follow each other by text; a lone row is its own next. The edited text is the row's
-    with its last third replaced by the start of the next row's.
+    A null text is empty. Rows without an id come last, rows with equal ids follow each other by a hash of their text; a lone row is
+    its own next. The edited text is the row's with its last third replaced by the start of the next row's. Ids are integers.
     """
     docs = int_id(documents.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    dealt = neighbours(docs).repartition("bucket").sortWithinPartitions("bucket", "ghost", F.desc("doc_id"), "text")
+    dealt, runs = neighbours(docs)
+    dealt = dealt.repartition(runs // 16 + 1, "bucket").sortWithinPartitions("bucket", "ghost", F.desc("k"), "h", "text").drop("k", "h")
     return dealt.mapInArrow(_fingerprints, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -466,6 +466,10 @@ def test_decontamination(spark, real, odd, none, sf_dir, block_chars):
         assert (x.n_words, x.n_hit, x["items"]) == slow(x.text)
     (x,) = [x for x in got if x.doc_id == 100]
     assert [x.text[s.start : s.end] for s in x.spans] == ["one-two three four FIVE six seven eight nine ten, eleven"]
+    wide = decontamination.Windows([(str(i), t or "") for i, t in items], 10, symbols=8)  # two symbols a word
+    for x in got:
+        ranges, own = wide.scan([w.encode() for w in alnum(x.text)])
+        assert (sum(b - a for a, b in decontamination.merge(ranges)), sorted(own)) == (x.n_hit, x["items"]) and wide.size == 2
     assert decontamination.find_contamination(df, bench.limit(0)).filter("n_hit > 0").count() == 0
     assert decontamination.find_contamination(df, bench).count() == df.count() and decontamination.find_contamination(none, bench).count() == 0
 
@@ -546,18 +550,24 @@ def test_program_covers_every_length(pieces):
 
 
 def test_fingerprints(spark, real, odd, none):
-    df = real[0].select("doc_id", "text").unionByName(odd.select("doc_id", "text").filter("doc_id is not null"))
-    rows = sorted([(-(r.doc_id), r.text or "") for r in df.collect()])
+    df = real[0].select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(spark.range(700).select(F.lit(77).cast("bigint").alias("doc_id"), F.concat(F.lit("one id, text "), F.col("id") % 350).alias("text")))
+    rows = sorted([(-r.doc_id if r.doc_id is not None else 2**63, r.h, r.text) for r in df.fillna("", ["text"]).withColumn("h", F.xxhash64("text")).collect()])
     got = fingerprints.fingerprint_documents(clashing(df)).collect()
     want = collections.Counter()
-    for k, (i, t) in enumerate(rows):
-        after = rows[(k + 1) % len(rows)][1]
+
+    def near(t, u):
+        a, b = set(fingerprints.digests(t).tolist()), set(fingerprints.digests(u).tolist())
+        return round(len(a & b) / len(a | b), 9) if a | b else 1.0
+
+    for k, (i, _, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][2]
         n = len(t) // 3
-        want[-i, len(t), hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()] += 1
-    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+        edited = t[: len(t) - n] + after[:n]
+        want[-i if i < 2**63 else None, len(t), hashlib.sha256(edited.encode()).hexdigest(), near(t, edited), near(t, after)] += 1
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
     by = collections.defaultdict(set)
     for r in got:
-        by[real[1].get(r.doc_id) if r.doc_id > 7 else r.doc_id].add(r.fingerprint)
+        by[real[1].get(r.doc_id) if r.doc_id is not None and r.doc_id > 77 else r.doc_id].add(r.fingerprint)
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (r.fingerprint != r.edited_fingerprint or r.near_edited == 1)
     assert all(len(v) == 1 for k, v in by.items() if isinstance(k, str))  # equal texts, equal fingerprints
     assert fingerprints.fingerprint_documents(none).count() == 0 and fingerprints.fingerprint_documents(df.limit(1)).count() == 1
@@ -577,8 +587,14 @@ def test_peeling_recovers_differences():
 
 def test_neighbours_span_runs(spark):
     rows = [(i * i, f"text {i}.") for i in range(300)]
-    dealt = fingerprints.neighbours(spark.createDataFrame(rows, "doc_id long, text string"), rows_each=20)
-    assert dealt.select("bucket").distinct().count() > 5 and dealt.filter("ghost").count() == dealt.select("bucket").distinct().count()
+    dealt, runs = fingerprints.neighbours(spark.createDataFrame(rows, "doc_id long, text string"), rows_each=20)
+    assert dealt.select("bucket").distinct().count() == runs > 5 and dealt.filter("ghost").count() == runs
+
+
+def test_rows_of_one_id_are_dealt(spark):
+    rows = [(None if i % 3 else 5, f"text {i}.") for i in range(900)]
+    dealt, runs = fingerprints.neighbours(spark.createDataFrame(rows, "doc_id long, text string"), rows_each=20)
+    assert runs > 20 and dealt.groupBy("bucket").count().agg(F.max("count")).first()[0] < 60
 
 
 def test_sql_of_secrets_finds_random_runs(spark, tmp_path):
