@@ -30,7 +30,7 @@ START, REPEAT = 0, "\x01"
 #: Below the single characters all code points are equally likely.
 CODE_POINTS = 0x110000
 #: Symbols that are worked on at once.
-CHUNK = 4_000_000
+CHUNK = 1_500_000
 #: Trusted texts of a language from which on it has a model and a threshold of its own.
 LEAST = 40
 _C = [f"c{k}" for k in range(1, ORDER + 1)]
