@@ -265,12 +265,13 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def jaccard_components(documents: DataFrame, *, width: int = 3, percent: int = 90, block_tokens: int = 100_000, id_column: str = "doc_id", text: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
+def jaccard_components(documents: DataFrame, *, width: int = 3, percent: int = 90, block_tokens: int = 100_000, id_column: str = "doc_id", text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``documents``.
 
     Rows are documents by their integer id: rows that repeat an id count as one document with any of their texts. Null and
     empty texts have no shingle and stay alone; a null id stays null and alone. ``block_tokens`` bounds what a task holds of
-    a cell. The broadcasts hold ids of documents that share a signature, at most ``broadcast_rows``; beyond, joins shuffle.
+    a cell. The broadcasts hold ids of documents that share a signature, five numbers a row and at most ``broadcast_rows``; beyond,
+    joins shuffle.
     """
     docs = int_id(documents.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text")))
     sets = materialize(docs.mapInArrow(_sketch(width, percent), "doc_id bigint, n_shingles bigint, node bigint, signatures array<bigint>"), "sets")
@@ -287,7 +288,7 @@ def jaccard_components(documents: DataFrame, *, width: int = 3, percent: int = 9
 
     def link(rows: DataFrame, n: int) -> DataFrame:
         texts = docs.join(small(rows, n, broadcast_rows), "doc_id").select("pivot", "block", "doc_id", "label", "visit", "text")
-        return texts.repartition("pivot", "block").sortWithinPartitions("pivot", "block", "visit", "doc_id").mapInArrow(_link(width, percent), "a bigint, b bigint")
+        return texts.repartition(min(n // 200 + 1, 20_000), "pivot", "block").sortWithinPartitions("pivot", "block", "visit", "doc_id").mapInArrow(_link(width, percent), "a bigint, b bigint")
 
     links = materialize(link(placed.withColumn("label", F.col("doc_id")).withColumn("visit", F.lit(False)), placed.count()), "links")
     links = links.union(sets.filter("node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))

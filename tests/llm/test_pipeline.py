@@ -63,10 +63,30 @@ def test_stages(spark, sf_dir):
     assert len(corpus_pipeline.run(spark, sf_dir).collect()) == len(packed)
 
 
+ODD = [(1, None, "en", "a", None), (2, "", None, None, 0), (3, LONG, "en", None, 5), (4, "a b c d e f", "xx", "a", 1), (4, "a b c d e f", "xx", "a", 1), (5, "a b c d e f", "xx", None, 1), (4, "something else at all here", "en", "a", 1), (None, "no id, but mail a@b.example", "en", "a", 1), (None, "no id, but mail a@b.example", "en", "a", 1)]
+#: What each stage leaves of these rows: ids with the starts of texts.
+LEFT = {
+    "n-gram Jaccard join": [(1, None), (2, ""), (3, "lorem"), (4, "a b c"), (4, "somet"), (None, "no id")],
+    "benchmark decontamination": [(1, None), (2, ""), (3, "lorem"), (4, "a b c"), (4, "a b c"), (4, "somet"), (5, "a b c"), (None, "no id"), (None, "no id")],
+    "PII": [(1, None), (2, ""), (3, "lorem"), (4, "a b c"), (4, "a b c"), (4, "somet"), (5, "a b c"), (None, "no id"), (None, "no id")],
+}
+
+
 @pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
 def test_stages_on_odd_tables(spark, sf_dir, stage):
     f = dict(corpus_pipeline.STAGES)[stage]
-    rows = [(1, None, "en", "a", None), (2, "", None, None, 0), (3, LONG, "en", None, 5), (4, "a b c d e f", "xx", "a", 1), (4, "a b c d e f", "xx", "a", 1), (None, "no id", "en", "a", 1)]
-    odd = spark.createDataFrame(rows, SCHEMA).withColumn("keep", F.lit("mine")).withColumn("spans", F.lit(1))
-    assert f(spark, odd, sf_dir).count() >= 1
-    assert f(spark, odd.limit(0), sf_dir).count() == 0
+    odd = spark.createDataFrame(ODD, SCHEMA).withColumn("keep", F.lit("mine")).withColumn("spans", F.lit(1)).withColumn("__key", F.lit(2))
+    got = f(spark, odd, sf_dir)
+    rows = got.collect()
+    if stage in LEFT:
+        assert got.columns == corpus_pipeline.COLUMNS
+        assert sorted(((r.doc_id, r.text and r.text[:5]) for r in rows), key=str) == sorted(LEFT[stage], key=str)
+    if stage == "PII":
+        assert [r.text for r in rows if r.doc_id is None] == ["no id, but mail [EMAIL]"] * 2 and all(r.n_chars == 1 for r in rows if r.doc_id in (4, 5))
+    if stage == "quality classifier":
+        assert all((r.text or "").strip() for r in rows) and {r.doc_id for r in rows} <= {3, 4, 5, None}
+    if stage == "best-fit packing":
+        assert len([r for r in rows if r.doc_id in (1, 2)]) == 2 and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+        assert len([r for r in rows if r.doc_id == 4]) == 3 and sum(r.length for r in rows if r.doc_id == 3) > 200_000
+    empty = f(spark, odd.limit(0), sf_dir)
+    assert empty.count() == 0 and empty.columns == got.columns
