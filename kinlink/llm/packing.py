@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small, table
 
 #: Distinct chunks and words a worker remembers the ids of, before it forgets them all.
-CHUNKS_KEPT, WORDS_KEPT = 400_000, 600_000
+CHUNKS_KEPT, WORDS_KEPT = 800_000, 1_200_000
 #: Configurations tried at the prices of one knapsack.
 AROUND = 32
 #: Marks that end a chunk and make a token of their own after letters; the apostrophe can't be among them.
