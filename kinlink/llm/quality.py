@@ -222,8 +222,8 @@ def _scored(texts: list[str | None], langs: list[str | None], shares: Shares) ->
 _NEW = {"n_symbols": (pa.int64(), "bigint"), "perplexity": (pa.float64(), "double"), "own_model": (pa.bool_(), "boolean")}
 
 
-def _with_scores(table: pa.Table, kept: list[str], shares: Shares) -> pa.Table:
-    out = _scored(table.column("__text").to_pylist(), table.column("__lang").to_pylist(), shares)
+def _with_scores(table: pa.Table, kept: list[str], shares: Shares, text: str) -> pa.Table:
+    out = _scored(table.column(text).to_pylist(), table.column("__lang").to_pylist(), shares)
     return pa.table([*(table.column(c) for c in kept), *(pa.array(x, kind[0]) for x, kind in zip(out, _NEW.values(), strict=True))], names=[*kept, *_NEW])
 
 
@@ -231,22 +231,24 @@ def score(documents: DataFrame, model: DataFrame, *, text: str = "text", lang: s
     """``documents`` with n_symbols, perplexity (null without a word), and own_model: whether the language has a model of its own."""
     spark = documents.sparkSession
     kept = [f.name for f in documents.schema.fields if f.name not in _NEW]
-    source = documents.select(*kept, F.col(text).alias("__text"), F.col(lang).cast("string").alias("__lang"))
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields if f.name in kept] + [f"{c} {kind[1]}" for c, kind in _NEW.items()])
+    if text not in kept:
+        documents, text = documents.withColumn("__text", F.col(text)), "__text"
+    source = documents.select(*dict.fromkeys([*kept, text]), F.col(lang).cast("string").alias("__lang"))
+    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name in kept] + [f"{c} {kind[1]}" for c, kind in _NEW.items()])
     if model.count() <= broadcast_rows:
         rows = model.toArrow()
         shared = spark.sparkContext.broadcast((rows.column("key").to_numpy(), rows.column("value").to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shares = Shares(*shared.value)
-            for some in _tables(batches):
-                yield from _with_scores(some, kept, shares).combine_chunks().to_batches()
+            for some in _tables(batches, text):
+                yield from _with_scores(some, kept, shares, text).combine_chunks().to_batches()
 
         return source.mapInArrow(run, ddl)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 32
-        for k, some in enumerate(_tables(batches)):
+        for k, some in enumerate(_tables(batches, text)):
             yield from some.append_column("__chunk", pa.array([at + k] * len(some), pa.int64())).combine_chunks().to_batches()
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +256,7 @@ def score(documents: DataFrame, model: DataFrame, *, text: str = "text", lang: s
             chunks = batch.column("__chunk").to_numpy()
             for chunk in np.unique(chunks):
                 some = batch.filter(pa.array(chunks == chunk))
-                texts, langs = some.column("__text").to_pylist(), some.column("__lang").to_pylist()
+                texts, langs = some.column(text).to_pylist(), some.column("__lang").to_pylist()
                 need = [mix(np.array([_language(x) for x in set(langs)]), np.ones(len(set(langs)), np.uint64))]
                 for own in {None, *langs}:
                     for _, _, s in _chunks([t for t, x in zip(texts, langs, strict=True) if own is None or x == own], [None] * (len(texts) if own is None else langs.count(own))):
@@ -264,19 +266,19 @@ def score(documents: DataFrame, model: DataFrame, *, text: str = "text", lang: s
                 yield pa.RecordBatch.from_arrays([pa.array([int(chunk)] * len(every), pa.int64()), pa.array(every)], ["__chunk", "key"])
 
     written = materialize(source.mapInArrow(numbered, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields) + ", __chunk bigint"), "chunks")
-    answers = written.select("__chunk", "__text", "__lang").mapInArrow(asked, "__chunk bigint, key bigint").distinct().join(model, "key")
+    answers = written.select("__chunk", text, "__lang").mapInArrow(asked, "__chunk bigint, key bigint").distinct().join(model, "key")
 
     def answered(texts: pa.Table, rows: pa.Table) -> pa.Table:
-        return _with_scores(texts, kept, Shares(rows.column("key").to_numpy(), rows.column("value").to_numpy()))
+        return _with_scores(texts, kept, Shares(rows.column("key").to_numpy(), rows.column("value").to_numpy()), text)
 
     return written.groupBy("__chunk").cogroup(answers.groupBy("__chunk")).applyInArrow(answered, ddl)
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _tables(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Table]:
     """Batches put together or cut to about CHUNK characters."""
     held, size = [], 0
     for batch in batches:
-        lengths = np.cumsum([len(t or "") for t in batch.column("__text").to_pylist()])
+        lengths = np.cumsum([len(t or "") for t in batch.column(text).to_pylist()])
         lo = 0
         while lo < len(batch):
             hi = int(np.searchsorted(lengths, (lengths[lo - 1] if lo else 0) + CHUNK - size)) + 1

@@ -546,6 +546,34 @@ def test_program_covers_every_length(pieces):
     assert sum(times for _, times in packing.solve(dict(need), 2048)) <= 1.001 * bound + 1
 
 
+@pytest.mark.parametrize("times", [1, 1000])
+def test_the_program_makes_the_packing(times):
+    """On the lengths of a real table: near the program's bound, never above best-fit, nine tenths of the sequences its own."""
+    import pyarrow.parquet as pq
+
+    ids, need = packing.WordIds(packing.tokenizer_path()), collections.Counter()
+    for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist():
+        n = sum(len(ids[c]) // 4 for c in (t or "").replace("\n", " ").split(" ")) + 1
+        need.update({2048: n // 2048 * times, n % 2048: (n % 2048 > 0) * times})
+    need = {n: k for n, k in need.items() if k}
+    found, out = packing.program(dict(need), 2048), packing.solve(dict(need), 2048)
+    used = sum(x for _, x in out)
+    assert used <= sum(x for _, x in found) + len(found) and used <= sum(x for _, x in packing._best_fit(dict(need), 2048))
+    own = {tuple(sorted(c.items())) for c, _ in found}
+    assert sum(x for c, x in out if tuple(sorted(c.items())) in own) >= (0.8 if times == 1 else 0.99) * used
+
+
+def test_the_short_way_to_ids_is_the_tokenizers():
+    """Runs of Latin-1 letters with marks after them go straight to the merges."""
+    from tokenizers import Tokenizer
+
+    r, tokenizer, ids = random.Random(6), Tokenizer.from_file(packing.tokenizer_path()), packing.WordIds(packing.tokenizer_path())
+    letters = [chr(c) for c in range(0x41, 0x100) if chr(c).isalpha()]
+    for _ in range(4000):
+        chunk = "".join(r.choice(letters) for _ in range(r.randint(0, 9))) + "".join(r.choice(packing.TAIL) for _ in range(r.randint(0, 3)))
+        assert np.frombuffer(ids[chunk], "<u4").tolist() == tokenizer.encode(chunk, add_special_tokens=False).ids
+
+
 # 10
 
 
