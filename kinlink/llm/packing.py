@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize, small, table
 
 #: Distinct chunks and words a worker remembers the ids of, before it forgets them all.
-CHUNKS_KEPT, WORDS_KEPT = 800_000, 1_200_000
+CHUNKS_KEPT, WORDS_KEPT = 400_000, 600_000
 #: Configurations tried at the prices of one knapsack.
 AROUND = 32
 #: Marks that end a chunk and make a token of their own after letters; the apostrophe can't be among them.
@@ -76,6 +76,16 @@ class WordIds(dict):
             self.words.clear()
 
 
+def _folded(text: str) -> str:
+    """The text in lower case, as the tokenizer makes it anyway, if all of it is Latin-1: fewer distinct chunks."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+    return text.lower()
+
+
 _ids: dict[str, WordIds] = {}
 
 
@@ -95,7 +105,7 @@ def tokenize_pieces(documents: DataFrame, tokenizer: str, *, capacity: int = 204
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 some = batch.slice(lo, 256)
-                split = [t.replace("\n", " ").split(" ") if t else [] for t in some.column("t").to_pylist()]
+                split = [_folded(t).replace("\n", " ").split(" ") if t else [] for t in some.column("t").to_pylist()]
                 words.trim()
                 rows: list[tuple] = []
                 for doc, own in zip(some.column("d").to_pylist(), split, strict=True):
