@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sim
 from ..functions.text import words
 
-NAMES = (
-    "name_exact name_sorted_exact name_ratio name_tsort name_tset name_jaccard name_overlap name_lr compact_ratio name_full_ratio "
-    "addr_exact addr_ratio addr_tsort addr_jaccard addr_overlap addr_lr addr_miss country_eq nx_addr is_s2 n_blocks blk_E blk_S blk_C blk_T blk_L"
-).split()
-NAMES_VARIANT = (
-    "name_exact name_sorted_exact name_ratio name_partial_ratio name_token_sort name_token_set name_jaccard name_overlap name_len_ratio name_full_ratio "
-    "name_first_token compact_name_ratio addr_exact addr_ratio addr_token_sort addr_jaccard addr_overlap addr_len_ratio addr_num_jaccard addr_num_overlap "
-    "addr_missing_any addr_missing_both country_match name_x_addr name_x_addr_jaccard is_s2 n_blocking_methods has_exact_block has_sorted_block has_token_block has_prefix_block"
-).split()
+#: Columns of the features, in the order of the model. Fixed values.
+NAMES = [
+    "name_exact", "name_sorted_exact", "name_ratio", "name_tsort", "name_tset", "name_jaccard", "name_overlap", "name_lr", "compact_ratio",
+    "name_full_ratio", "addr_exact", "addr_ratio", "addr_tsort", "addr_jaccard", "addr_overlap", "addr_lr", "addr_miss", "country_eq", "nx_addr",
+    "is_s2", "n_blocks", "blk_E", "blk_S", "blk_C", "blk_T", "blk_L",
+]
+#: Those of the variant. Fixed values.
+NAMES_VARIANT = [
+    "name_exact", "name_sorted_exact", "name_ratio", "name_partial_ratio", "name_token_sort", "name_token_set", "name_jaccard", "name_overlap",
+    "name_len_ratio", "name_full_ratio", "name_first_token", "compact_name_ratio", "addr_exact", "addr_ratio", "addr_token_sort", "addr_jaccard",
+    "addr_overlap", "addr_len_ratio", "addr_num_jaccard", "addr_num_overlap", "addr_missing_any", "addr_missing_both", "country_match", "name_x_addr",
+    "name_x_addr_jaccard", "is_s2", "n_blocking_methods", "has_exact_block", "has_sorted_block", "has_token_block", "has_prefix_block",
+]
 _USED = ["nn", "nnf", "sn", "cn", "na", "sa", "cl"]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +13,8 @@ from ..sources.tsv import scan_ids, scan_lines, scan_targets
 REPORT = "file string, check string, severity string, n bigint, examples string"
 HEADERS = {"matching": ("source1_entity_id", "matched_entity_ids"), "candidates": ("source1_entity_id", "candidate_entity_ids")}
 EXAMPLES = 5
+#: Checks after which a file has no rows to count.
+UNREAD = ("missing file", "candidate file missing", "comma-separated")
 
 
 def examples(df: DataFrame, column: str, name: str, severity: str, file: str) -> DataFrame:
@@ -29,6 +31,13 @@ def split_rows(lines: DataFrame) -> DataFrame:
     return rows.select("line", "value", F.when(tab > 0, F.trim(F.substring_index("value", "\t", 1))).alias("entity_id"), F.when(tab > 0, F.expr("substring(value, instr(value, '\t') + 1)")).alias("ids"), (tab > 0).alias("has_tab"))
 
 
+def list_counts(rows: DataFrame) -> DataFrame:
+    """(rows, empty, filled) of a file's rows with a tab: how many there are, and how many lists are empty and not."""
+    blank = F.trim(F.regexp_replace("ids", "[\r\n]+$", "")) == ""
+    one = rows.filter("has_tab").select(blank.cast("bigint").alias("blank"))
+    return one.agg(F.count("*").alias("rows"), F.coalesce(F.sum("blank"), F.lit(0)).alias("empty"), F.coalesce(F.sum(1 - F.col("blank")), F.lit(0)).alias("filled"))
+
+
 def listed(rows: DataFrame) -> DataFrame:
     """(line, entity_id, id) for each element of the lists; elements aren't trimmed."""
     return rows.filter("has_tab and trim(ids) <> ''").select("line", "entity_id", F.explode(F.split(F.regexp_replace("ids", "[\r\n]+$", ""), ",")).alias("id"))
@@ -75,6 +84,9 @@ def check_file(spark: SparkSession, path: str, name: str, required: DataFrame, v
         return problem("missing file"), None
     if head == "csv":
         return problem("comma-separated"), None
+    broken = lines.filter(~F.is_valid_utf8("value"))
+    if broken.limit(1).count():
+        return examples(broken, "line", "not UTF-8", "error", name), None
     rows = split_rows(lines)
     items = listed(rows)
     kinds = items.withColumn("kind", prefix_kind(F.col("id")))
@@ -137,7 +149,16 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--check-ids", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("validate").getOrCreate()
-    rows = validate(spark, args.matching, args.candidates, args.test_s1, args.targets, check_ids=args.check_ids).collect()
+    try:
+        rows = validate(spark, args.matching, args.candidates, args.test_s1, args.targets, check_ids=args.check_ids).collect()
+        for path in filter(None, (args.matching, args.candidates)):
+            if not any(r["check"] in UNREAD and r["examples"] == path for r in rows):
+                n = list_counts(split_rows(scan_lines(spark, path))).first()
+                print(f"{path}: {n['rows']} rows, {n['filled']} with and {n['empty']} without ids")
+    except PySparkException as e:  # a file that is missing or can't be read
+        print(f"error: {str(e).splitlines()[0]}")
+        print("FAIL")
+        return 1
     for r in rows:
         print(f"{r['severity']}: {r['file']}: {r['check']}: {r['n']} ({r['examples']})")
     failed = any(r["severity"] == "error" for r in rows)

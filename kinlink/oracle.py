@@ -48,7 +48,7 @@ _VNAME, _VADDR = "replace(strip_accents(lower(business_name)), '&', ' and ')", "
 _MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in ADDRESS_WORDS.items()) + "}"
 _VPREP = f"""prep AS MATERIALIZED (
     SELECT *, {_join("list_sort(" + _words("nn") + ")")} AS sn, {_join(_words("nn"), "")} AS cn, {_join("list_sort(" + _words("na") + ")")} AS sa,
-           list_distinct({_words("nn")}) AS tokens, list_distinct(regexp_extract_all(na, '[0-9]+')) AS numbers
+           list_distinct({_words("nn")}) AS tokens, list_distinct(regexp_extract_all(na, '\\p{{Nd}}+')) AS numbers
     FROM (SELECT *, {_join(_without(_tokens(_VNAME), LEGAL_VARIANT))} AS nn, {_join(_tokens(_VNAME))} AS nnf,
                  {_join("list_transform(" + _tokens(_VADDR) + f", lambda w: coalesce(element_at({_MAP}, w)[1], w))")} AS na,
                  trim(lower(country)) AS cl FROM ent))""".replace(f"element_at({_MAP}, w)[1]", f"({_MAP})[w]")
@@ -361,6 +361,7 @@ ORACLE_SQL = {
         f"SELECT entity_id, CASE WHEN row_number() OVER (ORDER BY {_HASH}, entity_id) <= floor(count(*) OVER () * 0.2) THEN 'validation' ELSE 'train' END AS part FROM s1", *_BASE
     ),
     "sample_per_country": _sql(f"SELECT country, entity_id FROM s1 QUALIFY row_number() OVER (PARTITION BY country ORDER BY {_HASH}, entity_id) <= 20", *_BASE),
+    "sample_overall": _sql(f"SELECT entity_id FROM s1 ORDER BY {_HASH}, entity_id LIMIT 50", *_BASE),
     "inject_truth": _sql(
         f"SELECT {_PAIR_ROWS}, n_blocks FROM pairs UNION ALL SELECT a.country, entity_id_s1, entity_id_s2s3, 'G' AS block, 0 AS n_blocks FROM (SELECT * FROM truth EXCEPT SELECT entity_id_s1, entity_id_s2s3 FROM pairs) JOIN s1 a ON a.entity_id = entity_id_s1",
         *_BASE,

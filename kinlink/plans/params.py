@@ -18,6 +18,7 @@ class TokenPass:
     cap: int
 
 
+#: The defaults are the settings of the original run. Fixed values.
 @dataclass(frozen=True)
 class Params:
     seed: int = 42

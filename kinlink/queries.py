@@ -309,6 +309,11 @@ def sample_per_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_per_country(_sides(spark, sf_dir)[0], 20).select("country", "entity_id")
 
 
+@query
+def sample_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_overall(_sides(spark, sf_dir)[0], 50).select("entity_id")
+
+
 @query
 def inject_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs, a, b = _pairs(spark, sf_dir)

@@ -28,10 +28,9 @@ def scan_country(spark: SparkSession, path: str, country: str) -> DataFrame:
 
 
 def scan_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The distinct ids in a file's first column; only that column is read."""
-    first = F.trim(F.split("value", "\t", 2)[0])
-    lines = spark.read.text(path).select(first.alias("entity_id"))
-    return lines.filter("entity_id not in ('', 'entity_id')").distinct()
+    """The distinct ids in a file's first column, whatever the header calls it; only that column is read."""
+    ids = spark.read.schema("entity_id string").csv(path, sep="\t", header=True, quote="")
+    return ids.select(F.trim("entity_id").alias("entity_id")).filter("entity_id <> ''").distinct()
 
 
 def scan_targets(spark: SparkSession, paths: list[str]) -> DataFrame | None:
@@ -66,14 +65,15 @@ def scan_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def scan_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value): the lines of one file, numbered from 1 in its order.
+    """(line, value): the lines of a file, or of several in the order of their paths, numbered from 1.
 
     A line's number is its place in its split plus the lines of the splits before; only a row for each split meets in one task.
     """
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
-    splits = rows.groupBy("split").agg(F.min("place").alias("first"), F.count("*").alias("n"))
-    before = splits.select("split", "first", (F.sum("n").over(Window.orderBy("split")) - F.col("n")).alias("before"))
-    return rows.join(F.broadcast(before), "split").select((F.col("before") + F.col("place") - F.col("first") + 1).alias("line"), "value")
+    at = ["file", "split"]
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    splits = rows.groupBy(*at).agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = splits.select(*at, "first", (F.sum("n").over(Window.orderBy(*at)) - F.col("n")).alias("before"))
+    return rows.join(F.broadcast(before), at).select((F.col("before") + F.col("place") - F.col("first") + 1).alias("line"), "value")
 
 
 def id_lists(roster: DataFrame, pairs: DataFrame, name: str = "matched_entity_ids") -> DataFrame:

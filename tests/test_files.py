@@ -101,5 +101,39 @@ def test_whole_run(spark, files, tmp_path):
     (matching,), (offered,) = ((tmp_path / "out" / x).glob("part-*") for x in ("matching_results", "candidate_pairs"))
     report = validate.validate(spark, f"file://{matching}", f"file://{offered}", f"{d}/test_source1.tsv", [f"{d}/test_source2.tsv", f"{d}/test_source3.tsv"], check_ids=True)
     assert report.count() == 0
+    (told,) = (tmp_path / "out" / "report").glob("part-*")
+    told = dict(x.split("\t") for x in told.read_text().splitlines())
+    assert told["records"] == "40" and int(told["training n"]) == int(told["training positives"]) + int(told["training negatives"])
+    assert float(told["threshold"]) == trained.threshold and sum(k.startswith("importance ") for k in told) == 15 and "validation macro_f05" in told
     lines = matching.read_text().splitlines()
     assert [x.split("\t")[0] for x in lines[1:]] == [f"S1-{i}" for i in range(40)]  # in the order of the input
+
+
+def test_ids_skip_the_header_by_place(spark, files):
+    path = files("other.tsv", 'key\tbusiness_name\nS1-1\tx\n"S1-2\ty\n\tz\nentity_id\tq\n')
+    assert {r[0] for r in tsv.scan_ids(spark, path).collect()} == {"S1-1", '"S1-2', "entity_id"}
+
+
+def test_lines_of_several_files(spark, files, tmp_path):
+    for k in range(3):
+        files(f"part-{k}.txt", "".join(f"{k * 4 + i}\n" for i in range(1, 5)))
+    assert sorted((r.line, int(r.value)) for r in tsv.scan_lines(spark, f"file://{tmp_path}/part-*").collect()) == [(i, i) for i in range(1, 13)]
+
+
+def test_command_line(spark, files, tmp_path, capsys):
+    s1 = files("s1.tsv", "entity_id\tbusiness_name\nS1-1\tx\nS1-2\ty\n")
+    good = files("m.tsv", HEAD + "S1-1\tS2-1,S3-4\nS1-2\t\n")
+    assert validate.main([good, "--test-s1", s1]) == 0
+    out = capsys.readouterr().out
+    assert "2 rows, 1 with and 1 without ids" in out and out.endswith("PASS\n")
+    assert validate.main([good, "--test-s1", f"file://{tmp_path}/nowhere.tsv"]) == 1 and capsys.readouterr().out.endswith("FAIL\n")
+    assert validate.main([f"file://{tmp_path}/nowhere.tsv", "--test-s1", s1]) == 1 and "missing file" in capsys.readouterr().out
+    (tmp_path / "bad.tsv").write_bytes(HEAD.encode() + b"S1-1\tS2-\xff\nS1-2\t\n")
+    assert validate.main([f"file://{tmp_path}/bad.tsv", "--test-s1", s1]) == 1 and "not UTF-8: 1 (2)" in capsys.readouterr().out
+
+
+def test_digits_of_any_script(spark):
+    from kinlink.functions import text as tx
+
+    row = spark.createDataFrame([("१२ main st 34b",)], "a string").select(tx.addr_numbers(tx.F.col("a")).alias("n")).first()
+    assert row.n == ["१२", "34"]

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +105,11 @@ def test_sampling(spark):
     right = entities(spark, [("S2-1", "n", ""), ("S2-2", "m", "")])
     found = blocking.candidates(s1.filter("entity_id in ('S1-1', 'S1-2')"), right)
     truth = spark.createDataFrame([("S1-1", "S2-2"), ("S1-1", "S2-1"), ("S1-1", "S2-404")], "entity_id_s1 string, entity_id_s2s3 string")
+    assert {r.n_blocks for r in sampling.inject_truth(found, truth, s1, right, methods=1).filter("block = 'G'").collect()} <= {1}
+    per = spark.createDataFrame([(f"S1-{i}", "US" if i % 3 else None) for i in range(3000)], "entity_id string, country string")
+    some = sampling.sample_per_country(per, 700).collect()
+    slow = lambda c: {e for _, e in sorted((hashlib.md5(f"{r.entity_id}|42".encode()).hexdigest(), r.entity_id) for r in per.collect() if r.country == c)[:700]}
+    assert all({r.entity_id for r in some if r.country == c} == slow(c) for c in ("US", None))
     got = {(r.entity_id_s2s3, r.block, r.n_blocks) for r in sampling.inject_truth(found, truth, s1, right).filter(F.col("entity_id_s1") == "S1-1").collect()}
     assert ("S2-2", "G", 0) in got and not any(x[0] == "S2-404" for x in got)
     assert metrics.class_counts(metrics.with_labels(found, truth)).first().positives == found.filter("entity_id_s1 = 'S1-1' and entity_id_s2s3 = 'S2-1'").count()
