@@ -288,7 +288,7 @@ def jaccard_components(documents: DataFrame, *, width: int = 3, percent: int = 9
 
     def link(rows: DataFrame, n: int) -> DataFrame:
         texts = docs.join(small(rows, n, broadcast_rows), "doc_id").select("pivot", "block", "doc_id", "label", "visit", "text")
-        return texts.repartition(min(n // 200 + 1, 20_000), "pivot", "block").sortWithinPartitions("pivot", "block", "visit", "doc_id").mapInArrow(_link(width, percent), "a bigint, b bigint")
+        return texts.repartition(min(n // 1000 + 1, 20_000), "pivot", "block").sortWithinPartitions("pivot", "block", "visit", "doc_id").mapInArrow(_link(width, percent), "a bigint, b bigint")
 
     links = materialize(link(placed.withColumn("label", F.col("doc_id")).withColumn("visit", F.lit(False)), placed.count()), "links")
     links = links.union(sets.filter("node <> doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
