@@ -191,18 +191,15 @@ class Field:
         return out[::-1]
 
     def fit(self, examples: list[tuple[str, list[tuple[str, int, int]]]], epochs: int = 8, rate: float = 0.25, decay: float = 1e-4) -> None:
-        lats = [lattice(t, 0, len(t)) for t, _ in examples]
-        for _, ends in lats:
-            for own in ends:
-                for _, names in own:
-                    for f in names:
-                        self.index.setdefault(f, len(self.index))
+        places, ids = [], []
+        for t, _ in examples:  # a sentence's names of features go as soon as they have numbers
+            tokens, ends = lattice(t, 0, len(t))
+            places.append(tokens)
+            ids.append([[(i, np.array([self.index.setdefault(f, len(self.index)) for f in names], np.int32)) for i, names in own] for own in ends])
         self.weights = np.zeros((len(self.index), len(KINDS) + 1))
-        ids = [[[(i, np.array([self.index[f] for f in names])) for i, names in own] for own in ends] for _, ends in lats]
         for epoch in range(epochs):
             step = rate / (1 + epoch / 2)
-            for (_, spans), lat, cand in zip(examples, lats, ids, strict=True):
-                tokens = lat[0]
+            for (_, spans), tokens, cand in zip(examples, places, ids, strict=True):
                 n = len(tokens)
                 score = [[(i, self.weights[f].sum(axis=0)) for i, f in own] for own in cand]
                 for j, row in enumerate(score):
