@@ -1,9 +1,14 @@
 """What the variant's steps pass on, where one name or number is everywhere: rows counted in the plans that ran."""
 
+import random
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from kinlink.functions.text import prepare_variant
 from kinlink.operators import blocking
+from kinlink.plans.params import Params
 
 COLUMNS = "entity_id string, business_name string, business_address string, country string"
 
@@ -35,3 +40,34 @@ def test_address_numbers_shuffle_records_not_pairs(spark):
     got = df.collect()
     assert len(got) == len({tuple(r) for r in got}) == 60 * 90  # each shares 77, some share another number too
     assert 0 < passed(df, "^Exchange", "shuffleRecordsWritten") <= 2 * 90
+
+
+def test_hot_names_cost_rows_times_cap(spark):
+    """Every record of one name and number: 150 x 450 pairs by each key, of which five a record stay."""
+    left, right = (entities(spark, [(f"{s}-{i:03d}", ("alpha beta", "beta alpha")[i % 2], f"road 12345 {i % 3}") for i in range(n)]) for s, n in (("S1", 150), ("S2", 450)))
+    df = blocking.candidates_variant(left, right, Params(variant_cap=5))
+    got = {(r.entity_id_s1, r.entity_id_s2s3): (r.methods, r.n_methods) for r in df.collect()}
+    assert got == {(f"S1-{i:03d}", f"S2-{j:03d}"): ("addr_number,exact,prefix,sorted,token", 5) for i in range(150) for j in range(i % 2, 10, 2)}
+    assert 0 < passed(df, "Join", "numOutputRows") <= 150 * 5
+
+
+@pytest.mark.parametrize(("cap", "freq", "twice"), [(1, 1000, 0), (3, 40, 0), (7, 25, 0), (3, 1000, 6)])
+def test_variant_candidates_against_all_pairs(spark, cap, freq, twice):
+    """With random names and numbers, and with ids that stand several times."""
+    r = random.Random(cap)
+    some = lambda words, n: " ".join(r.choice(words) for _ in range(r.randint(0, n)))
+
+    def rows(source, n):
+        out = [(f"{source}-{i:03d}", some(["ab", "abc", "q", "foo", "fooba", "rbaz", "bar"], 4), some(["12", "1234", "5678", "main"], 2), r.choice(["US", "US", "IN"])) for i in range(n)]
+        return out + [(r.choice(out)[0], *r.choice(out)[1:]) for _ in range(twice)]
+
+    a, b = rows("S1", 80), rows("S2", 100)
+    left, right = entities(spark, a), entities(spark, b + ([("S1-003", "foo", "1234", "US")] if twice else []))
+    params = Params(variant_cap=cap, token_freq_cap=freq)
+    blocks = [
+        blocking.key_block(left, right, F.col("nn"), "exact"), blocking.key_block(left, right, F.col("sn"), "sorted"), blocking.block_prefix(left, right),
+        blocking.block_token_sets(left, right, freq), blocking.block_addr_numbers(left, right),
+    ]
+    pairs = blocking.union_blocks(blocks).filter("entity_id_s1 <> entity_id_s2s3").withColumnsRenamed({"block": "methods", "n_blocks": "n_methods"})
+    want = sorted(map(tuple, blocking.cap_candidates(pairs, cap, "n_methods").collect()))
+    assert want and sorted(map(tuple, blocking.candidates_variant(left, right, params).collect())) == want
