@@ -3,9 +3,11 @@
 import random
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kinlink.functions import similarity as sim
 from kinlink.functions.text import prepare_variant
 from kinlink.operators import blocking
 from kinlink.plans.params import Params
@@ -71,3 +73,23 @@ def test_variant_candidates_against_all_pairs(spark, cap, freq, twice):
     pairs = blocking.union_blocks(blocks).filter("entity_id_s1 <> entity_id_s2s3").withColumnsRenamed({"block": "methods", "n_blocks": "n_methods"})
     want = sorted(map(tuple, blocking.cap_candidates(pairs, cap, "n_methods").collect()))
     assert want and sorted(map(tuple, blocking.candidates_variant(left, right, params).collect())) == want
+
+
+def test_similarities_in_batches():
+    """Many pairs together against one by one: words of 64 bits and their borders, other scripts, empty and very long strings; called once for each distinct pair."""
+    r = random.Random(2)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(r.randint(0, n)))
+    kinds = (("ab", 9), ("abcd ", 70), ("abcdéन😀", 140), ("".join(map(chr, range(0x4E00, 0x5E00))), 80))
+    pairs = [(some(*k), some(*k)) for k in kinds for _ in range(60)] + [(None, "x"), ("", ""), ("a" * 64, "b" + "a" * 64), ("a" * 63 + "b", "ab" * 32), ("a" * 256, "ba" * 257), ("ab" * 700, "b" * 600)]
+    x, y, which = sim._distinct(*(pd.Series([p[i] for p in pairs * 2]) for i in (0, 1)))
+    assert len(x) == len(set(pairs))
+    for f, one in ((sim.lcs_lengths, sim.lcs), (sim.best_windows, sim.best_window)):
+        assert list(f(x, y)[which]) == [one(a or "", b or "") for a, b in pairs * 2]
+
+
+def test_features_of_a_pair_meet_python_in_batches(spark, monkeypatch):
+    """No string similarity of the variant goes through the loop over single pairs."""
+    monkeypatch.setattr(sim, "best_window", None)
+    monkeypatch.setattr(sim, "lcs", None)
+    a, b = pd.Series(["royal tea house", "state bank"]), pd.Series(["tea royal", "bank of state"])
+    assert list(sim.lcs_len.func(a, b)) == [5, 5] and list(sim.partial_ratio.func(a, b).round(6)) == [0.714286, 0.666667]
