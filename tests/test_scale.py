@@ -11,6 +11,7 @@ from kinlink.functions import similarity as sim
 from kinlink.functions.text import prepare_variant
 from kinlink.operators import blocking
 from kinlink.plans.params import Params
+from kinlink.queries import QUERIES
 
 COLUMNS = "entity_id string, business_name string, business_address string, country string"
 
@@ -93,3 +94,13 @@ def test_features_of_a_pair_meet_python_in_batches(spark, monkeypatch):
     monkeypatch.setattr(sim, "lcs", None)
     a, b = pd.Series(["royal tea house", "state bank"]), pd.Series(["tea royal", "bank of state"])
     assert list(sim.lcs_len.func(a, b)) == [5, 5] and list(sim.partial_ratio.func(a, b).round(6)) == [0.714286, 0.666667]
+
+
+def test_feat_mod_of_a_hot_name(spark, tmp_path):
+    """feat_mod itself, over documents of one name: five rows for each record of the first source, no step with more pairs."""
+    words = "acme trading house of tea main road 12345 north side of town by the old river"
+    spark.createDataFrame([(i, words, "en") for i in range(300)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["feat_mod"](spark, str(tmp_path))
+    got = df.collect()
+    assert len(got) == 100 * 5 and {r.name_ratio for r in got} == {1.0} and {r.n_blocking_methods for r in got} == {5.0}
+    assert 0 < passed(df, "Join", "numOutputRows") <= 100 * 5
