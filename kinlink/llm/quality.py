@@ -13,6 +13,7 @@ all; beyond, the n-grams that a chunk has are joined with it by a hash of the n-
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -177,27 +178,23 @@ def train(trusted: DataFrame) -> DataFrame:
     for k in range(ORDER - 1, 0, -1):  # lower orders count the distinct symbols before
         orders[k] = materialize(orders[k + 1].groupBy("lang", *_C[ORDER - k :]).agg(F.count("*").alias("n")), f"order{k}")
     out = []
-    for k in range(1, ORDER + 1):
+    for k in range(1, ORDER + 1):  # each order is written by itself: one plan of all took the driver several hundred MB
         have = [F.sum((col("n") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
         y = F.when(col("n1") + col("n2") > 0, col("n1") / (col("n1") + 2 * col("n2"))).otherwise(0.5)
         cut = [F.when((col(f"n{i}") > 0) & (col(f"n{i + 1}") > 0), F.least(F.greatest(i - (i + 1) * y * col(f"n{i + 1}") / col(f"n{i}"), F.lit(0.05)), F.lit(i - 0.05))).otherwise(0.5).alias(f"d{i}") for i in (1, 2, 3)]
-        cuts = orders[k].groupBy("lang").agg(*have).select(col("lang").alias("__lang"), *cut)
+        cuts = materialize(orders[k].groupBy("lang").agg(*have).select(col("lang").alias("__lang"), *cut), f"cuts{k}")
         of = orders[k].join(small(cuts, cuts.count(), 10_000), col("lang").eqNullSafe(col("__lang")))
         of = of.withColumn("cut", F.when(col("n") == 1, col("d1")).when(col("n") == 2, col("d2")).otherwise(col("d3")))
         context = _C[ORDER - k : -1]
-        totals = of.groupBy("lang", *context).agg(F.sum("n").alias("total"), F.sum("cut").alias("left"))
+        totals = materialize(of.groupBy("lang", *context).agg(F.sum("n").alias("total"), F.sum("cut").alias("left")), f"totals{k}")
         none = [F.lit(0).alias(c) for c in _C[: ORDER - k]]
-        out.append(totals.select("lang", *none, *context, F.lit(0).alias(_C[-1]), F.lit(k).alias("k"), F.lit(False).alias("gram"), (col("left") / col("total")).alias("value")))
-        same = of["lang"].eqNullSafe(totals["lang"])
-        for c in context:
-            same = same & (of[c] == totals[c])
+        left = totals.select("lang", *none, *context, F.lit(0).alias(_C[-1]), F.lit(k).alias("k"), F.lit(False).alias("gram"), (col("left") / col("total")).alias("value"))
         share = of.join(totals.select(col("lang").alias("__of"), *(col(c).alias(f"__{c}") for c in context), "total"), _same(context))
-        out.append(share.select("lang", *none, *context, _C[-1], F.lit(k).alias("k"), F.lit(True).alias("gram"), ((col("n") - col("cut")) / col("total")).alias("value")))
-    rows = out[0]
-    for other in out[1:]:
-        rows = rows.unionByName(other)
-    model = materialize(rows.mapInArrow(_keyed, "key bigint, value double"), "shares")
-    discard(counted, *orders.values())
+        share = share.select("lang", *none, *context, _C[-1], F.lit(k).alias("k"), F.lit(True).alias("gram"), ((col("n") - col("cut")) / col("total")).alias("value"))
+        out.append(materialize(left.unionByName(share).mapInArrow(_keyed, "key bigint, value double"), f"shares{k}"))
+        written += [cuts, totals]
+    model = reduce(DataFrame.unionByName, out)
+    discard(*written, *orders.values())
     return model
 
 

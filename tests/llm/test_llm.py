@@ -322,6 +322,18 @@ def test_quality_joins_by_chunk(spark, sf_dir, odd, monkeypatch):
     assert [r.perplexity for r in plain if r.perplexity] == pytest.approx([r.perplexity for r in joined if r.perplexity])
 
 
+def test_quality_trains_by_small_plans(spark, sf_dir):
+    """The driver never plans all orders at once: no execution of the training has more than a handful of exchanges."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    began = max([-1, *(store.executionsList().apply(i).executionId() for i in range(store.executionsList().size()))])
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang", F.lit(True).alias("own"))
+    assert quality.train(df).count()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = [store.executionsList().apply(i) for i in range(store.executionsList().size())]
+    nodes = [[n.name() for n in (g.apply(i) for i in range(g.size()))] for r in runs if r.executionId() > began for g in [store.planGraph(r.executionId()).allNodes()]]
+    assert len(nodes) > 4 and max(sum("Exchange" in x for x in own) for own in nodes) <= 8
+
+
 def test_kneser_ney_by_hand(spark):
     """Shares against a direct interpolated modified Kneser-Ney of the same texts, by language and of all; probabilities sum to one."""
     texts = [("the cat sat on the mat. the cat sat. a a a bat. " * 2, "en"), ("тот кот и 😀 and the bat", "ru"), (None, "en"), ("", None), ("le chat", None)]
