@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from kinlink import fixtures
 from kinlink.functions import similarity as sim
 from kinlink.functions.text import prepare_variant
 from kinlink.operators import blocking
@@ -104,3 +105,12 @@ def test_feat_mod_of_a_hot_name(spark, tmp_path):
     got = df.collect()
     assert len(got) == 100 * 5 and {r.name_ratio for r in got} == {1.0} and {r.n_blocking_methods for r in got} == {5.0}
     assert 0 < passed(df, "Join", "numOutputRows") <= 100 * 5
+
+
+def test_words_of_long_texts(spark, tmp_path):
+    """Blanks go at both ends alone, also before a last line separator, as in SQL; words behind the 25th change nothing."""
+    rows = [(0, "one two \x85"), (1, " \n\t a  b\r\n"), (2, " ".join(f"w{i}" for i in range(400))), (3, " \n"), (4, None)]
+    spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.business_name, r.business_address, r.truth_key) for r in fixtures.document_entities(spark, str(tmp_path)).orderBy(F.substring("entity_id", 4, 9)).collect()]
+    w = [f"w{i}" for i in range(25)]
+    assert got == [("one two \x85", "", ""), ("a b", "", ""), (" ".join(w[:5]), " ".join(w[5:15]), " ".join(w[5:])), ("", "", ""), ("", "", "")]
